@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 FALLBACK_DIR = "/tmp/checkpoints"
@@ -50,7 +51,7 @@ def partitions(spark: SparkSession) -> int:
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose string column holds about ``limit`` bytes at most (one row at least)."""
     array = batch.column(column)
-    sizes = np.asarray(pa.compute.binary_length(array).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(array).fill_null(0), dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > limit:
