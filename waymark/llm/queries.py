@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import sharding, token_store, warc
+from waymark.llm import ranking, sharding, simhash, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op4_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op7_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,6 +43,8 @@ def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     op2_token_store,
     op4_hypergeometric_sharding,
+    op6_simhash_trie,
+    op7_bradley_terry,
     op10_warc_reassembly,
 ]
 
