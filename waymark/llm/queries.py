@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import ranking, sharding, simhash, token_store, warc
+from waymark.llm import ranking, repeats, sharding, simhash, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ QUERIES = [
     op4_hypergeometric_sharding,
     op6_simhash_trie,
     op7_bradley_terry,
+    op8_prefix_free_parsing,
     op10_warc_reassembly,
 ]
 
