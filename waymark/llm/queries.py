@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import ranking, repeats, sharding, simhash, token_store, warc
+from waymark.llm import decontaminate, pieces, ranking, repeats, sharding, simhash, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op8_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,9 +55,11 @@ def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     op2_token_store,
     op4_hypergeometric_sharding,
+    op5_qgram_decontamination,
     op6_simhash_trie,
     op7_bradley_terry,
     op8_prefix_free_parsing,
+    op9_piece_viterbi,
     op10_warc_reassembly,
 ]
 
