@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, pieces, ranking, repeats, sharding, simhash, token_store, warc
+from waymark.llm import decontaminate, line_crf, page_text, pieces, ranking, repeats, sharding, simhash, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.line_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
@@ -53,7 +61,9 @@ def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    op1_line_crf,
     op2_token_store,
+    op3_page_differencing,
     op4_hypergeometric_sharding,
     op5_qgram_decontamination,
     op6_simhash_trie,
