@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -136,6 +137,12 @@ class FastEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> FastEncoder:
+    """One encoder per Python worker: what it has learned serves the worker's later tasks too."""
+    return FastEncoder(path)
+
+
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write shards and index under ``path``.
 
@@ -148,7 +155,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
     ordered = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = FastEncoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         part, seq = TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.asarray([end_id], dtype=encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
