@@ -78,5 +78,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+#: The other operators draw, learn, hash with XXH64 or align, which SQL can't express; tests hold them
+#: against brute force.
+ORACLES = {
+    "op10_warc_reassembly": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        w AS (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS winner FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN winner IS NOT NULL AND page_id IS DISTINCT FROM winner THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+        FROM w""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
