@@ -8,6 +8,7 @@ File format (Parquet files are only the container, so any Hadoop file system wil
     keys        the doc_id of each document (for building the index)
     payload     the raw ids, little-endian, one document after the other
   ``index``: one row per key bucket.
+    buckets     how many buckets the keys were dealt to (an empty one has no row)
     bits        the levels of the hash: packed bits, one array per level
     fingerprints  uint32 per slot, from a second hash of the key
     first       uint32 per slot + 1: where the key's places begin (a repeated key has several)
@@ -233,7 +234,7 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 PLACES = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("offset", pa.int64()), ("n", pa.int64())])
-INDEX = "bucket bigint, bits array<binary>, sizes array<bigint>, fingerprints binary, first binary, part binary, seq binary, offset binary, n binary"
+INDEX = "bucket bigint, buckets bigint, bits array<binary>, sizes array<bigint>, fingerprints binary, first binary, part binary, seq binary, offset binary, n binary"
 
 
 def build_index(shards: DataFrame) -> DataFrame:
@@ -265,6 +266,7 @@ def build_index(shards: DataFrame) -> DataFrame:
         return pa.table(
             {
                 "bucket": pa.array([bucket], pa.int64()),
+                "buckets": pa.array([buckets], pa.int64()),
                 "bits": pa.array([[np.packbits(x).tobytes() for x in levels]], pa.list_(pa.binary())),
                 "sizes": pa.array([[len(x) for x in levels]], pa.list_(pa.int64())),
                 "fingerprints": pa.array([fingerprints(keys)[by_slot].astype("<u4").tobytes()], pa.binary()),
@@ -293,7 +295,7 @@ def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     gives no row, except that one in 2^32 unknown keys passes its slot's fingerprint.
     """
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    buckets = max(1, index.count())
+    buckets = index.agg(F.max("buckets")).first()[0] or 1
     asked = keys.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc_id")).distinct().withColumn("bucket", key_bucket(F.col("doc_id"), buckets))
 
     def look(asked_: pa.Table, stored: pa.Table) -> pa.Table:
