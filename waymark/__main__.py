@@ -1,7 +1,7 @@
 """Command line: python -m waymark COMMAND ...
 
 doctor | profile-data | build-snapshot | build-stats | verify-snapshot | rebuild-postings | query-ir |
-query-draft | query-sql | query-mql | explain
+query-draft | query-sql | query-mql | query-nl | explain
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from waymark.functions import projection
 from waymark.operators import ingest, postings
-from waymark.plans import frontends
+from waymark.plans import dialog, frontends
 from waymark.plans.engine import PATHS, Engine
 from waymark.sources import parsers, snapshot
 
@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--dataset-id", default="dataset")
             p.add_argument("--chunk-points", type=int, default=256)
             p.add_argument("--bucket-ms", type=int, default=600_000)
-    for name in ("build-stats", "verify-snapshot", "rebuild-postings", "query-ir", "query-draft", "query-sql", "query-mql", "explain"):
+    for name in ("build-stats", "verify-snapshot", "rebuild-postings", "query-ir", "query-draft", "query-sql", "query-mql", "query-nl", "explain"):
         p = sub.add_parser(name)
         p.add_argument("snapshot")
         if name == "rebuild-postings":
@@ -51,6 +51,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--path", choices=PATHS, default="flat")
             p.add_argument("--crs", default="EPSG:32650")
             p.add_argument("--now-ms", type=int)
+            if name == "query-nl":
+                p.add_argument("--replies", required=True, help="file with a JSON list of the language model's replies")
     return top
 
 
@@ -82,13 +84,18 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     engine = Engine(opened, crs=args.crs, now_ms=args.now_ms)
     if args.command in ("query-ir", "explain"):
         ir = json.loads(text)
+    elif args.command == "query-nl":
+        with open(args.replies) as f:
+            client = dialog.ScriptedClient(json.load(f))
+        bound = dialog.Dialog(client, engine.binder()).run(text)
+        ir = bound.ir
     else:
         make = {"query-draft": json.loads, "query-sql": lambda t: frontends.sql_to_draft(t, opened.dataset_id), "query-mql": lambda t: frontends.mql_to_draft(t, opened.dataset_id)}[args.command]
         bound = engine.binder().bind(make(text))
-        if bound.ir is None:
-            out({"status": bound.status, "error": bound.error, "clarify": bound.clarify})
-            return 1
         ir = bound.ir
+    if ir is None:
+        out({"status": bound.status, "error": bound.error, "clarify": bound.clarify})
+        return 1
     if args.command == "explain":
         print(engine.explain(ir, args.path))
         return 0

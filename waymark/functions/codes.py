@@ -191,7 +191,7 @@ def element_level(code: int, depth: int) -> tuple[int, int, int]:
     return level, x, y
 
 
-def xz_ranges(rect: Rect, domain: Domain, depth: int, most: int | None = None, merge: int = 0) -> list[tuple[int, int]]:
+def xz_ranges(rect: Rect, domain: Domain, depth: int, most: int | None = None) -> list[tuple[int, int]]:
     """Ranges of the elements whose doubled cells touch the rectangle."""
     w, h = domain.max_x - domain.min_x, domain.max_y - domain.min_y
     clamp = lambda v: max(0.0, min(1.0, v))
