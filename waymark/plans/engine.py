@@ -8,7 +8,7 @@ posting scans.  All give the same answer; ``check`` compares them.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +34,13 @@ class Result:
     """An answer with its status: OK, RESOURCE_EXHAUSTED, DATA_INTEGRITY_ERROR, NO_SAFE_PLAN or FAILED."""
 
     status: str
-    rows: list[dict] = field(default_factory=list)
+    frame: DataFrame | None = None
     error: str | None = None
-    plan_id: str | None = None
+
+    @property
+    def rows(self) -> list[dict]:
+        """The answer on the driver, fetched partition by partition; for answers known to be small."""
+        return [r.asDict() for r in self.frame.toLocalIterator()] if self.frame is not None else []
 
 
 class Engine:
@@ -88,7 +92,7 @@ class Engine:
         return best.join(self.snapshot.meta.select("tid", "trajectory_id"), "tid").select("tid", "trajectory_id", "distance").orderBy("distance", "tid")
 
     def run(self, ir: dict, path: str = "flat", pruned: bool = False) -> Result:
-        """Check the budgets, then answer; any failure clears the rows and sets a status."""
+        """Check the budgets, then answer with a DataFrame; a failure gives a status and no answer."""
         try:
             _ir.validate_bound(ir)
             if path != "flat":
@@ -98,7 +102,7 @@ class Engine:
             if ir["result"]["mode"] == "TOP_K":
                 tids = ops.exclude_reference(self.matching(ir, path), ir["similarity"]["reference_tid"])
                 ops.check_cells(ops.batch_get_trajectory(tids, self.snapshot.trajectories), self.snapshot.trajectories, ir, self.limits.max_cells)
-            return Result("OK", [r.asDict() for r in self.query(ir, path, pruned=pruned).collect()])
+            return Result("OK", self.query(ir, path, pruned=pruned))
         except ops.ResourceExhausted as e:
             return Result("RESOURCE_EXHAUSTED", error=str(e))
         except (ops.DataIntegrityError, SnapshotError) as e:
