@@ -42,8 +42,10 @@ KEYS_PER_BUCKET = 50_000
 GAMMA = 2.0
 #: The key under which rows without a doc_id are stored.
 NULL_KEY = -(1 << 63)
+#: Bytes of text encoded at once: the more, the more often a word is met again.
+ENCODE_BYTES = 12 << 20
 #: Words and pre-tokens whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHE_PRETOKENS = 700_000
 #: Marks that the pattern always parts from the letters before them when nothing follows.
 MARKS = frozenset(".,;:!?")
@@ -59,8 +61,8 @@ class FastEncoder:
     characters always starts one.  A text is therefore cut at such spaces, each distinct piece is
     encoded by the library once, and the packed ids are joined.  Texts with other white space around
     a space are cut by the full pattern, and texts with a special token's string go to the library
-    whole.  Both memories are bounded: the pre-tokens are held in two generations, so that common
-    ones survive when the rare are dropped.
+    whole.  Both memories are bounded, in two generations, so that common ones survive when the rare
+    are dropped.
     """
 
     def __init__(self, path: str, dtype: np.dtype | None = None) -> None:
@@ -73,6 +75,10 @@ class FastEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PRETOKENS)
         self.words: dict[str, bytes | None] = {}  # a piece, without the space before it
+        self.older_words: dict[str, bytes | None] = {}
+        # Which tokens begin with a space (in this alphabet of bytes, a "\u0120").
+        self.begins = np.zeros(size, bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t[:1] == "\u0120"]] = True
         self.pretokens: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -81,6 +87,8 @@ class FastEncoder:
 
     def _cut(self, piece: str) -> list[str]:
         """Pre-tokens of " " + piece; letters with at most one common mark behind need no pattern."""
+        if piece[0] == "\n":
+            return self.pattern.findall(piece)
         if piece.isalpha():
             return [" " + piece]
         if piece[-1] in MARKS and piece[:-1].isalpha():
@@ -94,14 +102,26 @@ class FastEncoder:
         known, older = self.pretokens, self.older
         unseen = wanted.difference(known)
         known.update((p, older[p]) for p in unseen.intersection(older))
-        new = list(unseen.difference(older))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = self._pack(e.ids)
+        unseen.difference_update(older)
+        plain = [p for p in unseen if p[0] == " " and p[1:].isalpha()]
+        for i in range(0, len(plain), 1024):
+            known.update(self._together(plain[i : i + 1024]))
+        for p in unseen.difference(known):
+            known[p] = self._pack(self.tokenizer.encode(p, add_special_tokens=False).ids)
         return known
 
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words (a space, then letters) from one call: each begins where a token begins with a space."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.dtype.itemsize
+        if len(cuts) != len(words) + 1:
+            return {}
+        packed = ids.tobytes()
+        return {w: packed[a:b] for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist())}
+
     def _learn(self, pieces: set[str]) -> None:
         """Ids of unseen pieces; None for those that touch other white space."""
-        odd = [w for w in pieces if not w or w[0].isspace() or w[-1].isspace()]
+        odd = [w for w in pieces if not w or w[-1].isspace() or w[:1].isspace() and (w[0] != "\n" or w[1].isspace())]
         cut = {w: self._cut(w) for w in pieces.difference(odd)}
         known = self._recall(set(chain.from_iterable(cut.values())))
         self.words.update((w, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for w, ps in cut.items())
@@ -109,29 +129,35 @@ class FastEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; empty texts give none."""
-        cut = [text.split(" ") for text in texts]
+        # A line end begins a piece of its own, which then has no space before it.
+        cut = [text.replace("\n", " \n").split(" ") for text in texts]
         heads = [ws[0] for ws in cut]
         for ws in cut:
             del ws[0]
         wanted = set().union(*cut)
         if (missing := wanted.difference(self.words)):
             if len(self.words) + len(missing) > CACHE_WORDS:
-                self.words.clear()
+                self.older_words, self.words = self.words, {}
                 missing = wanted
-            self._learn(missing)
-        words, out, slow = self.words, [], []
+            again = missing.intersection(self.older_words)
+            self.words.update((w, self.older_words[w]) for w in again)
+            self._learn(missing - again)
+        get, out, slow = self.words.__getitem__, [], []
         for i, (text, head, ws) in enumerate(zip(texts, heads, cut)):
-            parts = [words[w] for w in ws]
+            try:
+                body = b"".join(map(get, ws)) if head and not head[-1].isspace() else None
+            except TypeError:  # a piece that touches other white space has no ids of its own
+                body = None
             if not text:
                 out.append(b"")
             elif any(s in text for s in self.special):
                 out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            elif None in parts or head[-1:].isspace() or not head:
+            elif body is None:
                 slow.append((i, self.pattern.findall(text)))
                 out.append(b"")
             else:
                 slow.append((i, self.pattern.findall(head)))
-                out.append(b"".join(parts))
+                out.append(body)
         known = self._recall({p for _, ps in slow for p in ps})
         for i, ps in slow:
             out[i] = b"".join([known[p] for p in ps]) + out[i]
@@ -175,7 +201,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
             )
 
         for batch in batches:
-            for lo, hi in slices(batch, 1, 4 << 20):
+            for lo, hi in slices(batch, 1, ENCODE_BYTES):
                 piece = batch.slice(lo, hi - lo)
                 for key, body in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
                     body += end
