@@ -36,7 +36,7 @@ GRAM = 20
 #: One trigger in so many places, on average.
 PHRASE = 256
 #: UTF-8 bytes of a block of documents (more if one document is longer), and of one pass of arrays.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 PASS_BYTES = 1 << 20
 #: Most strings in one stretch of text; its length then fits a byte.
 STRETCH = 128
@@ -374,7 +374,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark)
     blocks = max(1, -(-total // BLOCK_BYTES))
-    buckets = n
+    buckets = 2 * n
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("__block"), *names).repartition(n, "__block")
     out_schema = docs.select(*names).schema
     for name, kind in zip(added, ("long", "long", "long", "string")):
