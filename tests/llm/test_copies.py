@@ -124,3 +124,43 @@ def test_repeats_keep_other_columns(spark):
     got = sorted(repeats.remove_repeats(docs).collect(), key=lambda r: r.doc_id)
     assert got[0].text == rows[0][1] and got[1].text == "é tail" and got[1].n_bytes == len(rows[1][1].encode()) and got[0].block == "n"
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def edited_copies(rng, base):
+    """Copies of one text with a block added, a block cut off the end and words replaced."""
+    n = len(base)
+    yield "appended", base + words(rng, n * rng.randint(4, 22) // 100)
+    yield "truncated", base[: n - n * rng.randint(4, 18) // 100]
+    replaced = list(base)
+    for k in rng.sample(range(n), max(1, n // 60)):
+        replaced[k] = f"new{rng.randrange(9999)}"
+    yield "replaced", replaced
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(40):
+        base = words(rng, rng.randint(60, 900))
+        rows += [(len(rows), " ".join(base))]
+        rows += [(len(rows) + k, " ".join(copy)) for k, (_, copy) in enumerate(edited_copies(rng, base))]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i // 4 * 4, i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in got.collect()) == sorted({find(k) for k in range(len(rows))})

@@ -68,35 +68,32 @@ def simhash(text: str, width: int = 3) -> int:
     return majority(shingle_hashes(words_of(text), width))
 
 
-def profile(text: str) -> tuple[int, ...]:
+def profile(words: list[bytes], shingles: np.ndarray) -> tuple[int, ...]:
     """Fingerprints for linking near copies: one over words, weighted by the root of their counts,
-    whose bits few edits change; and four over five-word shingles, which together estimate similarity.
+    whose bits few edits change; and four over the distinct five-word shingles, which together
+    estimate similarity.
     """
-    words = words_of(text)
     distinct, counts = np.unique(np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64), return_counts=True)
-    shingles = shingle_hashes(words, 5)
     wide = [majority(mix64(shingles + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for k in range(1, 5)]
     return (majority(distinct, np.sqrt(counts)), *wide)
 
 
-def fingerprinted(docs: DataFrame, width: int = 3, full: bool = False) -> DataFrame:
-    """doc_id, text_hash and fp (bigint; with ``full`` also s1 to s4) of ``docs`` (doc_id, text).
+def fingerprinted(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, text_hash and fp (bigint) of ``docs`` (doc_id, text).
 
     A null text counts as empty.
     """
-    names = ["fp", *(["s1", "s2", "s3", "s4"] if full else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for lo, hi in slices(batch, 2, 4 << 20):
-                for text in batch.column(2).slice(lo, hi - lo).to_pylist():
-                    rows.append(profile(text) if full else (simhash(text, width),))
-            fps = np.array(rows, dtype=np.uint64).view(np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(names)))], names=["doc_id", "text_hash", *names])
+                rows += [simhash(text, width) for text in batch.column(2).slice(lo, hi - lo).to_pylist()]
+            fps = np.array(rows, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, ", ".join(["doc_id bigint, text_hash bigint", *(f"{n} bigint" for n in names)]))
+    return source.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 # --- the join --------------------------------------------------------------------------------------
@@ -278,25 +275,208 @@ def simhash_components(docs: DataFrame, budget: int = 2, width: int = 3) -> Data
     return marked.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The least similarity (Jaccard, of the sets of five-word shingles) of near copies.
+SIMILARITY = 0.8
 #: For similarity 0.8 of five-word shingles: cosine 0.89, an angle of 0.476, so 38.8 of 256 bits.
 WIDE_BITS = 39
 WORD_BITS = 5
+#: Least hashes of the shingles: two sets of similarity s agree on all ROWS of a band with chance
+#: s ** ROWS; at 0.8 all BANDS differ for 1.3 pairs in ten million.
+BANDS, ROWS = 30, 4
+FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+#: A pair of large sets is not compared if their 256 bits differ in more: six deviations above the
+#: mean at similarity 0.8.  Sets under SMALL_SET are always compared.
+LOOSE_BITS, SMALL_SET = 73, 64
+#: Members of a band from which pairs are made row by row.
+LARGE_BAND = 1000
+#: Bits of the filter on rows whose shingles are asked for; more rows than this only make it coarse.
+FILTER_BITS = 26
+
+
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes; none for an empty set."""
+    if not len(distinct):
+        return np.empty(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    base = distinct ^ (distinct >> np.uint64(32))
+    for i in range(0, len(base), 2048):
+        np.minimum(least, (base[i : i + 2048, None] * FACTORS).min(0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = mix64(keys + column)
+    return keys
+
+
+def set_id(distinct: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(distinct.tobytes(), SEED)
+
+
+def near_profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, id (of the set of five-word shingles), n (its size), fp, s1 to s4 and bands of ``docs``."""
+    names = ["id", "fp", "s1", "s2", "s3", "s4"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, bands = [], [], []
+            for lo, hi in slices(batch, 2, 4 << 20):
+                for text in batch.column(2).slice(lo, hi - lo).to_pylist():
+                    words = words_of(text)
+                    distinct = np.unique(shingle_hashes(words, 5))
+                    rows.append((set_id(distinct), *profile(words, distinct)))
+                    sizes.append(len(distinct))
+                    bands.append(band_keys(distinct).view(np.int64))
+            ints = np.array(rows, dtype=np.uint64).view(np.int64).reshape(-1, len(names))
+            columns = [pa.array(np.ascontiguousarray(ints[:, i])) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *columns, pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", *names, "n", "bands"])
+
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInArrow(run, ", ".join(["doc_id bigint, text_hash bigint", *(f"{n} bigint" for n in names), "n int, bands array<bigint>"]))
+
+
+def _may_be_near(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The distinct pairs a < b of ``pairs`` (src, dst) that sizes and wide fingerprints don't rule out."""
+    sides = ["n", "s1", "s2", "s3", "s4"]
+    pairs = pairs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(points.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in sides)), end)
+    bits = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in sides[1:])
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    return pairs.where((small >= large * F.lit(SIMILARITY) - 1e-6) & ((small < SMALL_SET) | (bits <= LOOSE_BITS))).select("a", "b")
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b: ids) whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, as src, dst.
+
+    The sets are made again from the texts, of the rows that stand for the points asked for; a bit map
+    over hashes leaves out nearly all others before anything is exchanged.
+    """
+    spark = docs.sparkSession
+    place = F.xxhash64("doc_id", "text_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("place")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    asked = points.join(ends, "id", "left_semi").select("best.doc_id", "best.text_hash").select(place).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[asked] = True
+    bitmap = spark.sparkContext.broadcast(np.packbits(bits))
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).select(place, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            found = np.flatnonzero(bitmap.value[at >> 3] >> (7 - (at & 7)) & 1)
+            for i in range(0, len(found), 64):
+                sets = [np.unique(shingle_hashes(words_of(t), 5)) for t in batch.column(1).take(pa.array(found[i : i + 64])).to_pylist()]
+                ids = np.array([set_id(x) for x in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(5 * both >= 4 * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["src", "dst"])
+
+    sets = source.mapInArrow(run, "id bigint, shingles binary")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "src bigint, dst bigint")
+
+
+def band_members(points: DataFrame) -> DataFrame:
+    """key, id, leader of the bands' keys that two points or more have; the leader is one of them."""
+    dealt = points.select(F.explode("bands").alias("key"), "id").repartition(partitions(points.sparkSession), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        key, own = (table.column(c).to_numpy() for c in ("key", "id"))
+        order = np.lexsort((mix64(own.view(np.uint64) ^ key.view(np.uint64)), key))
+        key, own = key[order], own[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        many = np.repeat(size > 1, size)
+        lead = np.repeat(own[first], size)
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, own, lead)], names=["key", "id", "leader"])
+
+    return dealt.mapInArrow(run, "key bigint, id bigint, leader bigint")
+
+
+def band_pairs(members: DataFrame) -> DataFrame:
+    """src, dst (ids): pairs of ``members`` (key, id, root, n, s1 to s4) with one key and two roots that
+    sizes and wide fingerprints don't rule out."""
+    sides = ["s1", "s2", "s3", "s4"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        order = np.argsort(table.column("key").to_numpy(), kind="stable")
+        key, own, root, n = (table.column(c).to_numpy()[order] for c in ("key", "id", "root", "n"))
+        bits = [table.column(c).to_numpy()[order].view(np.uint64) for c in sides]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        mixed = np.maximum.reduceat(root, first) != np.minimum.reduceat(root, first)
+        first, size = first[mixed], size[mixed]
+
+        def near(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+            good = (p < q) & (root[p] != root[q]) & (small >= large * SIMILARITY - 1e-6)
+            p, q, small = p[good], q[good], small[good]
+            good = (small < SMALL_SET) | (sum(popcount(s[p] ^ s[q]) for s in bits) <= LOOSE_BITS)
+            return pa.RecordBatch.from_arrays([pa.array(own[p[good]]), pa.array(own[q[good]])], names=["src", "dst"])
+
+        few = size <= LARGE_BAND
+        lo, k = first[few], size[few]
+        step = np.cumsum(k * k) >> 20
+        for s in np.unique(step):
+            at = step == s
+            yield near(*_products(lo[at], k[at], lo[at], k[at]))
+        for a, k in zip(first[~few].tolist(), size[~few].tolist()):
+            for i in range(a, a + k - 1):
+                q = np.arange(i + 1, a + k)
+                yield near(np.full(len(q), i), q)
+
+    dealt = members.select("key", "id", "root", "n", *sides).repartition(partitions(members.sparkSession), "key")
+    return dealt.mapInArrow(run, "src bigint, dst bigint")
+
+
+def near_groups(docs: DataFrame, word_bits: int = WORD_BITS, wide_bits: int = WIDE_BITS) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all rows, and id, best (row), root of their distinct sets of shingles.
+
+    Points of one root are connected by links of Jaccard similarity 0.8 or more, each verified.  Links
+    are sought in two rounds: those of the trie join and of each band's members to its leader; then all
+    pairs in a band that are not connected yet, so that a large group costs no pair of its members twice.
+    """
+    marked = materialize(near_profiles(docs), "simhash-profile")
+    sides = ["s1", "s2", "s3", "s4"]
+    # One point per distinct set: exact copies, however many, are one row from here on.
+    least = F.min(F.struct("doc_id", "text_hash", "fp", "n", *sides, "bands"))
+    best = marked.groupBy("id").agg(least.alias("m")).select("id", F.struct("m.doc_id", "m.text_hash").alias("best"), *(f"m.{c}" for c in ("fp", "n", *sides, "bands")))
+    points = materialize(best, "simhash-points")
+    members = materialize(band_members(points), "simhash-bands")
+    links = trie_links(points.select("id", "fp", *sides), word_bits, wide_bits)
+    asked = materialize(_may_be_near(links.union(members.select("id", "leader")), points), "simhash-pairs")
+    first = materialize(verified(asked, points, docs), "simhash-links")
+    roots = materialize(connected_components(first), "simhash-roots")
+    rooted = members.select("key", "id").join(roots, members.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    open_ = rooted.join(points.select("id", "n", *sides), "id")
+    asked = band_pairs(open_).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    second = verified(materialize(asked, "simhash-pairs"), points, docs)
+    roots = connected_components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(second))
+    return marked, points.join(roots, points.id == roots.node, "left").select("id", "best", F.coalesce("root", "id").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, word_bits: int = WORD_BITS, wide_bits: int = WIDE_BITS) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the least doc_id.
 
-    Two documents are linked if their word fingerprints differ in ``word_bits`` bits at most and the
-    256 bits over their five-word shingles put the similarity at 0.8 or more; groups are the connected
-    components.  Rows without a doc_id sort first; of repeated rows one stays.  Columns are unchanged.
+    Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more (see ``near_groups``); groups are the connected components.  Rows without a doc_id sort first;
+    of repeated rows one stays.  Columns are unchanged.
     """
-    marked = materialize(fingerprinted(docs, full=True), "simhash-profile")
-    sides = ["s1", "s2", "s3", "s4"]
-    # One point per distinct profile: exact copies, however many, are one row from here on.
-    least = F.min(F.struct("doc_id", "text_hash"))
-    points = materialize(marked.groupBy("fp", *sides).agg(least.alias("best")).withColumn("id", F.xxhash64("fp", *sides)), "simhash-points")
-    roots = connected_components(trie_links(points.select("id", "fp", *sides), word_bits, wide_bits))
-    rooted = points.join(roots, points.id == roots.node, "left").select(F.coalesce("root", "id").alias("root"), "best")
+    marked, rooted = near_groups(docs, word_bits, wide_bits)
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash")
     copies = marked.groupBy("doc_id", "text_hash").count()
     kept = kept.join(copies, kept.doc_id.eqNullSafe(copies.doc_id) & (kept.text_hash == copies.text_hash)).select(kept.doc_id.alias("__id"), kept.text_hash.alias("__hash"), F.col("count").alias("__n"))
