@@ -85,3 +85,12 @@ def test_pairwise_fit_separates():
     y = (x[:, 2] < 0.5).astype(int)
     model = ranking.fit(x, y)
     assert ((model.score(x) >= ranking.CUT) == y).mean() > 0.97
+
+
+def test_training_sees_late_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(line_crf, "train", lambda sequences, labels: seen.extend(map(len, sequences)))
+    docs = spark.createDataFrame([(1, "a line of words\n" * 250, "en", 1.0), (2, "short", "en", 0.0)], DOCS)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    line_crf.train_on_labels(docs, labels)
+    assert sorted(seen) == [1, 250]

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import slices
 
 SAMPLE_ROWS = 2000
-#: Lines of a sample document that training looks at (decoding looks at all).
-SAMPLE_LINES = 100
+#: Lines of a batch in training, padding included; a longer document is a batch of its own.
+BATCH_LINES = 25_600
 SHARE = 0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -103,8 +103,12 @@ def train(sequences: list[np.ndarray], labels: list[int], rounds: int = 60, rate
         return Chain(emission, np.zeros((2, 2)), np.zeros(2))
     order = np.argsort([len(s) for s in sequences], kind="stable")
     batches = []
-    for lo in range(0, len(order), 256):
-        own = order[lo : lo + 256]
+    hi = 0
+    while hi < len(order):
+        lo = hi
+        while hi < len(order) and (hi == lo or (hi + 1 - lo) * len(sequences[order[hi]]) <= BATCH_LINES):
+            hi += 1
+        own = order[lo:hi]
         size = np.array([len(sequences[i]) for i in own])
         x = np.zeros((len(own), size.max(), width))
         for k, i in enumerate(own):
@@ -156,7 +160,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [document_lines(t or "")[0][:SAMPLE_LINES] for t in batch.column(1).to_pylist()]
+            lines = [document_lines(t or "")[0] for t in batch.column(1).to_pylist()]
             flat = [[x for f in own for x in f] for own in lines]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(flat, pa.list_(pa.float64()))], names=["doc_id", "lines"])
 
