@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,9 +17,13 @@ FALLBACK_DIR = "/tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (unit tests on one machine) a folder of our own is used.
+    Where the setting is absent, a session on one machine (unit tests) uses a folder of our own; a
+    cluster is refused, since its machines don't share one.
     """
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR).rstrip("/")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -48,6 +53,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, total: int, each: int) -> int:
+    """How many parts to deal ``total`` bytes to, so that one holds about ``each`` bytes at most."""
+    return max(partitions(spark), -(-total // each))
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose string column holds about ``limit`` bytes at most (one row at least)."""
     array = batch.column(column)
