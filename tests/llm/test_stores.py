@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 import zlib
 
@@ -8,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from waymark.llm import pieces, sharding, token_store, warc
+from waymark.llm import common, pieces, sharding, token_store, warc
 from waymark.llm.common import scratch_path
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,24 +70,74 @@ def test_store_round_trip_and_lookup(spark, library, monkeypatch):
 
 def test_chunked_framing():
     for text in ("", "é" * 5000, "a\r\n0\r\n\r\nb" * 3000):
-        assert warc.dechunked(warc.chunked(text, 777).encode()) == text.encode()
+        assert warc.dechunked(warc.chunked(text.encode(), 777)) == text.encode()
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc")
 
 
-def test_archive_round_trip(spark, monkeypatch):
+PAGES = "page_id bigint, url string, html string"
+
+
+@pytest.mark.parametrize("frequent", [2, 1000])
+def test_archive_round_trip(spark, monkeypatch, frequent):
+    monkeypatch.setattr(common, "FREQUENT_ROWS", frequent)
     long = "é\r\n\r\nWARC/1.1\r\n" * 9000
-    rows = [(1, "u", "x" * 2000), (2, None, "x" * 2000), (3, "u", "s"), (4, "u", "s"), (5, "a\r\nb", None), (None, "u", "x" * 2000), (7, "h", long), (7, "h", long), (8, "h", "y" * 999), (9, "h", "y" * 999), (10, "h", "z" * 1000), (11, "h", "z" * 1000)]
-    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
-    refers = {1: 2, None: 2, 10: 11}
-    want = [(str(p), len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if p in refers else "response", refers.get(p)) for p, _, h in rows]
+    rows = [(1, "u", "x" * 2000), (2, None, "x" * 2000), (3, "u", "s"), (4, "u", "s"), (5, "a\r\nb", None), (None, "u", "x" * 2000), (7, "h", long), (7, "h", long), (8, "h", "y" * 999), (9, "h", "y" * 999), (10, "h", "z" * 1000), (11, "h", "z" * 1000), (11, "i", "z" * 1000), (11, "i", "z" * 1000)]
+    rows += [(None, "u", "w" * 1500), (None, "v", "w" * 1500), (-5, "u", "v" * 1500), (-4, "u", "v" * 1500)]
+    got = warc.archive_round_trip(spark.createDataFrame([(*r, "clash") for r in rows], PAGES + ", digest string").repartition(3)).collect()
+    refers = {(1, "x"): 2, (None, "x"): 2, (10, "z"): 11, (-5, "v"): -4}
+    want = [(str(p), len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if (p, (h or " ")[0]) in refers else "response", refers.get((p, (h or " ")[0]))) for p, _, h in rows]
     assert sorted(map(str, [(str(r[0]), *r[1:]) for r in got])) == sorted(map(str, want))
-    assert warc.archive_round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    assert warc.archive_round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def archive_files(spark, path):
+    return [bytes(r.content) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+
+
+def test_archives_are_standard(spark):
+    path = scratch_path(spark, "warc-test")
+    rows = [(k, f"http://a/{k}", ("same" * 400 if k % 3 else f"own {k}" * 9000)) for k in range(30)] + [(29, "http://a/29", "same" * 400)] * 3
+    warc.write_archive(spark.createDataFrame(rows, PAGES), path)
+    ids, refers, dates, segments = [], [], 0, 0
+    for data in archive_files(spark, path):
+        # The standard library reads all members; each holds one record or nothing.
+        assert gzip.decompress(data) == warc.members(data)
+        rest = data
+        while rest:
+            unpacker = zlib.decompressobj(31)
+            assert len(list(warc.parse_records(unpacker.decompress(rest)))) <= 1
+            rest = unpacker.unused_data
+        for h, _ in warc.parse_records(warc.members(data)):
+            ids.append(h["warc-record-id"])
+            refers += [h["warc-refers-to"]] if h["warc-type"] == "revisit" else []
+            dates += "warc-date" in h
+            segments += h["warc-type"] == "continuation"
+    assert len(set(ids)) == len(ids) == dates and segments and len(refers) == 19 and set(refers) <= set(ids)
+
+
+def foreign(kind, number, block, *more):
+    return warc.gzip_member(warc.record([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{number}>"), ("WARC-Date", warc.DATE), *more], block))
+
+
+def test_foreign_archives(spark, tmp_path):
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    parts = [foreign("warcinfo", 0, b"software: x\r\n"), foreign("response", 1, head + b"hello", ("WARC-Payload-Digest", digest)), foreign("request", 2, b"GET / HTTP/1.1\r\n\r\n"), foreign("revisit", 3, head, ("WARC-Refers-To", "<urn:uuid:1>"), ("WARC-Payload-Digest", digest))]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    read = lambda: warc.resolve(warc.reassemble(warc.read_records(spark, f"file://{tmp_path}"))).collect()
+    assert sorted((r.id, r.type, r.payload_bytes) for r in read()) == [("<urn:uuid:1>", "response", 5), ("<urn:uuid:3>", "revisit", 5)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join([*parts, foreign("revisit", 4, head, ("WARC-Refers-To", "<urn:uuid:9>"))]))
+    with pytest.raises(Exception, match="names no record"):
+        read()
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts)[:-9])
+    with pytest.raises(Exception, match="cut short"):
+        read()
 
 
 def test_lost_segment_is_an_error(spark):
     path = scratch_path(spark, "warc-test")
-    warc.write_archive(spark.createDataFrame([(1, "u", "q" * 100_000)], "page_id bigint, url string, html string"), path)
+    warc.write_archive(spark.createDataFrame([(1, "u", "q" * 100_000)], PAGES), path)
     records = warc.read_records(spark, path)
     assert records.where("segment > 0").count() == 4
     with pytest.raises(Exception, match="missing"):

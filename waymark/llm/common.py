@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -81,3 +83,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Keys that hold at least this share of all rows are too frequent for one task; there are at most as
+#: many as the share divides one.
+FREQUENT_SHARE = 1e-4
+FREQUENT_ROWS = 1000
+
+
+def attach(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``lookup``, which has each ``key`` once; nulls where it lacks the key.
+
+    ``lookup`` has a column n besides, the number of rows of each key, of ``total`` rows.  Rows are
+    exchanged by the key, but those of a frequent key by the hash of all their columns: what they look
+    up is sent to all tasks, and is bounded by ``FREQUENT_SHARE``.  The columns __deal and __key, by
+    which rows were exchanged, come along; equal rows have equal ones.
+    """
+    names = [c for c in lookup.columns if c not in (key, "n")]
+    frequent = F.col("n") >= max(FREQUENT_ROWS, math.ceil(total * FREQUENT_SHARE))
+    hot = lookup.where(frequent).select(F.col(key).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in names))
+    cold = lookup.where(~frequent).select(F.xxhash64(key).alias("__cold_deal"), F.col(key).alias("__cold"), *(F.col(c).alias(f"__cold_{c}") for c in names))
+    usual = F.col("__hot").isNull()
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    marked = marked.withColumn("__deal", F.when(usual, F.xxhash64(key)).otherwise(F.xxhash64(*rows.columns))).withColumn("__key", F.when(usual, F.col(key)))
+    found = marked.join(cold, (F.col("__deal") == F.col("__cold_deal")) & (F.col("__key") == F.col("__cold")), "left")
+    return found.select(*rows.columns, "__deal", "__key", *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in names))
