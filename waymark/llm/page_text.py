@@ -463,7 +463,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
         flat = lambda runs: ([r[0] for r in runs], [r[1] for r in runs], [r[2] for r in runs])
         yield from _batches(((part, *flat(first), *flat(last)) for part, first, last in found()), EDGES)
 
-    signed = keyed.mapInArrow(sign, SIGNED_DDL).repartition(parts, "part").sortWithinPartitions("part", "key")
+    signed = keyed.mapInArrow(sign, SIGNED_DDL).repartitionById(parts, "part").sortWithinPartitions("part", "key")
     edges = signed.mapInArrow(ends, EDGES_DDL).orderBy("part").toArrow().to_pylist()  # a few runs per part
     wanted = borders([(e["part"], *(list(zip(e[f"{w}_host"], e[f"{w}_sig"], e[f"{w}_key"])) for w in ("first", "last"))) for e in edges])
 
@@ -518,7 +518,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
         yield from _batches(texts(), TEXTS)
 
-    sent = keyed.mapInArrow(send, SENT_DDL).repartition(parts, "part").sortWithinPartitions("part", "key")
+    sent = keyed.mapInArrow(send, SENT_DDL).repartitionById(parts, "part").sortWithinPartitions("part", "key")
     return sent.mapInArrow(extract, "page_id bigint, url string, text string, n_chars bigint")
 
 
