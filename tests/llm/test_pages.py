@@ -211,6 +211,47 @@ def test_decontamination_is_complete():
     assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("pairs, window, cells", [(50, 1 << 21, 1 << 18), (50, 300, 200), (1 << 20, 250, 50)])
+def test_small_steps_give_the_same(monkeypatch, pairs, window, cells):
+    rng = random.Random(11)
+    letter = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    items = [(rng.choice([None, 1, 2, 3, 4]), t) for t in [letter(rng.randint(12, 80)) for _ in range(9)] + ["a" * 60, "a" * 40, "ab" * 30, "b" * 7, "b" * 7]]
+    texts = ["a" * 700, "", "ba" * 200, *(letter(rng.randint(0, 400)) + rng.choice(items)[1] + letter(50) for _ in range(12))]
+    p = decontaminate.index_passages(items)
+    want = decontaminate.find(texts, p)
+    for name, value in (("PAIRS", pairs), ("WINDOW", window), ("CELLS", cells)):
+        monkeypatch.setattr(decontaminate, name, value)
+    assert decontaminate.find(texts, p) == want
+    exact = {}
+    for t, text in enumerate(texts):
+        for i, item in items:
+            budget = decontaminate.edits_allowed(len(item), decontaminate.Q, decontaminate.EDIT_RATE)
+            e = edits(item, text) if len(item) >= decontaminate.Q else int(item not in text)
+            if e <= budget:
+                exact[t, i] = min(e, exact.get((t, i), e))
+    assert {(t, i): e for t, i, e, _ in want} == exact
+
+
+def peak_of(items, texts):
+    tracemalloc.start()
+    p = decontaminate.index_passages(items)
+    found = decontaminate.find(texts, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30, peak
+    return found
+
+
+def test_memory_is_bounded():
+    rng = random.Random(2)
+    assert peak_of([(1, "x" * 400)], ["x" * 10_000_000]) == [(0, 1, 0, 400)]
+    assert peak_of([(1, "x" * 400), (2, "x" * 390 + "y" * 200)], ["x" * 100_000]) == [(0, 1, 0, 400)]
+    short = [(k, f"passage {k} of many that are short and differ {rng.random()}") for k in range(1000)]
+    assert peak_of([*short, (-1, "".join(rng.choice("abcdefgh ") for _ in range(2_000_000)))], ["before " + short[7][1] + " after"]) == [(0, 7, 0, 7 + len(short[7][1]))]
+    many = [(k, f"passage {k} {rng.random()} and a common end of all") for k in range(100_000)]
+    assert peak_of(many, [many[4][1] + " z", "and a common end of all " * 2])[0][:3] == (0, 4, 0)
+
+
 def test_passage_never_spans_two_texts():
     item = "abcdefghij klmnopqrst uvwxyz abcdefghij klmnop"
     p = decontaminate.index_passages([(1, item)])
@@ -218,11 +259,15 @@ def test_passage_never_spans_two_texts():
 
 
 def test_contaminations_and_drop(spark):
-    bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, "")], "item_id bigint, text string")
+    fox = "The quick brown fox jumps over the lazy dog and runs away"
+    bench = spark.createDataFrame([(1, fox), (1, fox + " again"), (2, None), (3, "")], "item_id bigint, text string")
     leak = "before it. the QUICK brown  fox jumps over\nthe lazy dog and runs away, after"
     rows = [(1, leak, "k"), (2, "clean text about foxes", "k"), (3, None, None), (4, "", "k"), (None, leak, "k"), (6, "z " * 60_000 + leak, "k")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, item_id string")
     assert sorted(str(r.doc_id) for r in decontaminate.contaminations(docs, bench).collect()) == ["1", "6", "None"]
+    nameless = spark.createDataFrame([(None, fox)], bench.schema)
+    assert sorted((str(r.doc_id), r.item_id) for r in decontaminate.contaminations(docs, nameless).collect()) == [("1", None), ("6", None), ("None", None)]
+    assert decontaminate.drop_contaminated(docs, nameless).count() == 3
     left = decontaminate.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4]
     assert decontaminate.contaminations(docs, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
@@ -231,5 +276,14 @@ def test_contaminations_and_drop(spark):
 @pytest.mark.parametrize("limit", [100, 1 << 20])
 def test_passages_come_in_blocks(spark, limit):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
-    blocks = list(decontaminate.passage_blocks(bench, limit))
-    assert sum(len(b.item) for b in blocks) == bench.count() and (len(blocks) > 1) == (limit == 100)
+    blocks = list(decontaminate.passage_blocks(bench.unionAll(bench), limit))
+    assert sum(map(len, blocks)) == 2 * bench.count() and (len(blocks) > 1) == (limit == 100)
+    ids = [{i for i, _ in b} for b in blocks]
+    assert sum(map(len, ids)) == bench.select("item_id").distinct().count()
+    docs = spark.createDataFrame([(1, f"see {bench.first().text} here")], "doc_id bigint, text string")
+    held, decontaminate.passage_blocks.__defaults__ = decontaminate.passage_blocks.__defaults__, (limit,)
+    try:
+        assert [r.item_id for r in decontaminate.contaminations(docs, bench).collect()] == [bench.first().item_id]
+        assert decontaminate.drop_contaminated(docs, bench).count() == 0
+    finally:
+        decontaminate.passage_blocks.__defaults__ = held
