@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from waymark.llm import graph, repeats, simhash
+from waymark.llm import common, graph, repeats, simhash
 
 DOCS = "doc_id bigint, text string"
 
@@ -48,6 +48,15 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert graph.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def test_rows_of_frequent_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "FREQUENT_ROWS", 50)
+    rows = [(7, i) for i in range(1000)] + [(None, -1), (8, -2), (9, -3), (9, -3)]
+    lookup = spark.createDataFrame([(7, "x", 1000), (8, None, 1), (9, "z", 2), (10, "w", 0)], "k int, x string, n bigint")
+    got = common.attach(spark.createDataFrame(rows, "k int, v int"), lookup, "k", 1004).collect()
+    assert sorted((str(r.k), r.v, str(r.x)) for r in got) == sorted((str(k), v, {7: "x", 9: "z"}.get(k, "None")) for k, v in rows)
+    assert len({r["__salt"] for r in got}) == 20
+
+
 def words(rng, n):
     return [f"w{rng.randrange(4000)}" for _ in range(n)]
 
@@ -82,8 +91,8 @@ def test_near_duplicates_leave_one(spark):
     edited = list(base)
     edited[50] = "changed"
     rows = [(1, " ".join(base), "a"), (2, " ".join(edited), "b"), (3, " ".join(base), "c"), (3, " ".join(base), "c"), (4, " ".join(words(rng, 300)), "d"), (5, " ".join(base[:150] + words(rng, 150)), "e"), (6, None, None), (7, "", None)]
-    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, fp string"))
-    assert got.columns == ["doc_id", "text", "fp"]
+    got = simhash.drop_near_duplicates(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, fp string, __id int, row int"))
+    assert got.columns == ["doc_id", "text", "fp", "__id", "row"]
     assert sorted(r.doc_id for r in got.collect()) == [1, 4, 5, 6]
 
 
@@ -142,7 +151,11 @@ def edited_copies(rng, base):
     yield "replaced", replaced
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
+    if small:  # so that keys are frequent, bands large and bit maps of several blocks
+        for module, name, value in ((common, "FREQUENT_ROWS", 3), (simhash, "BAND_BLOCK", 2), (simhash, "FILTER_BITS", 12), (simhash, "FILTER_BLOCK", 6)):
+            monkeypatch.setattr(module, name, value)
     rng = random.Random(11)
     rows = []
     for _ in range(40):

@@ -85,26 +85,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Keys that hold at least this share of all rows are too frequent for one task; there are at most as
-#: many as the share divides one.
+#: A key with this share of all rows, and so many rows at least, is too frequent for one task; there are
+#: at most 1 / FREQUENT_SHARE such keys.
 FREQUENT_SHARE = 1e-4
-FREQUENT_ROWS = 1000
+FREQUENT_ROWS = 200
 
 
 def attach(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` with the columns of ``lookup``, which has each ``key`` once; nulls where it lacks the key.
 
-    ``lookup`` has a column n besides, the number of rows of each key, of ``total`` rows.  Rows are
-    exchanged by the key, but those of a frequent key by the hash of all their columns: what they look
-    up is sent to all tasks, and is bounded by ``FREQUENT_SHARE``.  The columns __deal and __key, by
-    which rows were exchanged, come along; equal rows have equal ones.
+    ``lookup`` has a column n besides, the number of rows of each key, of ``total`` rows.  The rows of a
+    frequent key are dealt to several tasks, by a hash of all their columns, and what they look up goes
+    to each of these; only the frequent keys and their number of tasks are sent to all.  The column
+    __salt, by which rows were dealt besides the key, comes along; equal rows have equal ones.
     """
     names = [c for c in lookup.columns if c not in (key, "n")]
-    frequent = F.col("n") >= max(FREQUENT_ROWS, math.ceil(total * FREQUENT_SHARE))
-    hot = lookup.where(frequent).select(F.col(key).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in names))
-    cold = lookup.where(~frequent).select(F.xxhash64(key).alias("__cold_deal"), F.col(key).alias("__cold"), *(F.col(c).alias(f"__cold_{c}") for c in names))
-    usual = F.col("__hot").isNull()
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    marked = marked.withColumn("__deal", F.when(usual, F.xxhash64(key)).otherwise(F.xxhash64(*rows.columns))).withColumn("__key", F.when(usual, F.col(key)))
-    found = marked.join(cold, (F.col("__deal") == F.col("__cold_deal")) & (F.col("__key") == F.col("__cold")), "left")
-    return found.select(*rows.columns, "__deal", "__key", *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in names))
+    least = max(FREQUENT_ROWS, math.ceil(total * FREQUENT_SHARE))
+    hot = lookup.where(F.col("n") >= least).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / least).alias("__parts"))
+    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("__parts"))).otherwise(F.lit(0).cast("bigint"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").select(*rows.columns, salt.alias("__salt"))
+    parts = F.when(F.col("n") >= least, F.ceil(F.col("n") / least)).otherwise(F.lit(1).cast("bigint"))
+    spread = lookup.select(F.col(key).alias("__found"), *(F.col(c).alias(f"__{c}") for c in names), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("__at"))
+    found = dealt.join(spread, (F.col(key) == F.col("__found")) & (F.col("__salt") == F.col("__at")), "left")
+    return found.select(*rows.columns, "__salt", *(F.col(f"__{c}").alias(c) for c in names))

@@ -5,37 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import delete_path, materialize
+from waymark.llm.common import attach, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of ``edges`` (src, dst: bigint).
 
     Self loops and repeated edges are allowed; no edges give no rows.  The minimum over a node's
-    neighbours is pre-aggregated before each exchange, so a node with many neighbours is no hot key,
-    and the rows exchanged per step never exceed the edges.  Each step is written out, so a lost
-    executor costs one step.
+    neighbours is pre-aggregated before each exchange, and a node with very many neighbours has its rows
+    dealt to several tasks when they look this minimum up (``attach``).  The rows exchanged per step
+    never exceed twice the edges.  Each step is written out, so a lost executor costs one step.
     """
-    spark = edges.sparkSession
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    pairs = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc-edges")
-    nodes = materialize(nodes, "cc-nodes")
-    state = None
-    while True:
+    named = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    nodes = materialize(named.select(F.col("src").alias("node")).union(named.select("dst")).distinct(), "cc-nodes")
+    pairs = materialize(named.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc-edges")
+    total, state = pairs.count(), None
+    while total:
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
-        step = materialize(small.where("u <> v").distinct(), "cc-edges")
-        now = tuple(step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        delete_path(spark, pairs.inputFiles()[0].rsplit("/", 1)[0]) if pairs.inputFiles() else None
-        pairs = step
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = attach(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = attach(large, small_least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
+        pairs = materialize(small.where("u <> v").distinct(), "cc-edges")
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        total, state = now[0], now
     # In the fixed point every node points to the least of its component.
     found = pairs.groupBy("u").agg(F.min("v").alias("root"))
     return nodes.join(found.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

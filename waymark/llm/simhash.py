@@ -21,12 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize, mix64, partitions, slices
+from waymark.llm.common import attach, materialize, mix64, partitions, parts_for, slices
 from waymark.llm.graph import connected_components
 
 SEED = 42
-#: Node pairs with so few leaf pairs are compared directly.
+#: Node pairs with so few leaf pairs are compared directly; rows dealt to one task of the join.
 LEAF_PAIRS = 64
+TASK_ROWS = 1 << 21
 
 # --- fingerprints ----------------------------------------------------------------------------------
 
@@ -195,18 +196,15 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_links(points: DataFrame, budget: int, wide: int | None = None) -> DataFrame:
-    """Spanning links src, dst (ids) among ``points`` (id, fp[, s1..s4]) by the trie self-join.
-
-    ``wide`` is the most bits in which the four wide fingerprints may differ in all; None: not asked.
-    Points with one fp may be several only if ``wide`` is given.
-    """
+def trie_links(points: DataFrame, budget: int) -> DataFrame:
+    """Spanning links src, dst (ids) among ``points`` (id, fp; each fp once) by the trie self-join."""
     ways = layouts(budget)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    extra = ["s1", "s2", "s3", "s4"] if wide is not None else []
     turns = F.explode(F.array(*(F.struct(F.lit(r).alias("way"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("bigint")).alias("part")) for r, (mask, _, _) in enumerate(ways))))
-    dealt = points.select("id", "fp", *extra, turns.alias("t")).select("id", "fp", *extra, "t.way", "t.part")
-    dealt = dealt.repartition(partitions(points.sparkSession), "way", "part").select("way", "id", "fp", *extra)
+    dealt = points.select("id", "fp", turns.alias("t")).select("id", "fp", "t.way", "t.part")
+    # Parts of a bounded number of rows, whatever the session's setting.
+    spark = points.sparkSession
+    dealt = dealt.repartition(parts_for(spark, points.count() * len(ways), TASK_ROWS), "way", "part").select("way", "id", "fp")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -215,47 +213,19 @@ def trie_links(points: DataFrame, budget: int, wide: int | None = None) -> DataF
         table = pa.Table.from_batches(held)
         way_of = table.column("way").to_numpy()
         ids, fps = table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-        sides = [table.column(c).to_numpy().view(np.uint64) for c in extra]
         for way, (_, lead, order) in enumerate(ways):
             at = np.flatnonzero(way_of == way)
             if len(at) < 2:
                 continue
-            keys, inverse = np.unique(rearranged(fps[at], order), return_inverse=True)
+            keys, first = np.unique(rearranged(fps[at], order), return_index=True)
             i, j = trie_self_join(keys, lead, budget)
-            if wide is None:
-                own = ids[at][np.unique(inverse, return_index=True)[1]]
-                label = forest(len(keys), i, j)
-                linked = np.flatnonzero(label != np.arange(len(keys)))
-                src, dst = own[linked], own[label[linked]]
-            else:
-                src, dst = _verified(inverse, len(keys), i, j, ids[at], [s[at] for s in sides], wide)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+            own, label = ids[at][first], forest(len(keys), i, j)
+            linked = np.flatnonzero(label != np.arange(len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(own[linked], pa.int64()), pa.array(own[label[linked]], pa.int64())], names=["src", "dst"])
 
     return dealt.mapInArrow(join, "src bigint, dst bigint")
 
 
-def _verified(inverse: np.ndarray, n_keys: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray, sides: list[np.ndarray], wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of points whose keys are linked (or equal) and whose wide fingerprints are near."""
-    order = np.argsort(inverse, kind="stable")
-    count = np.bincount(inverse, minlength=n_keys)
-    first = np.cumsum(count) - count
-    label = np.arange(len(ids))
-    many = np.flatnonzero(count > 1)
-    ki, kj = np.concatenate([i, many]), np.concatenate([j, many])
-    size = count[ki] * count[kj]
-    cuts = np.searchsorted(np.cumsum(size), np.arange(1 << 20, size.sum() + (1 << 20), 1 << 20))
-    for a, b in zip(np.concatenate([[0], cuts[:-1] + 1]), cuts + 1):
-        p, q = _products(first[ki[a:b]], count[ki[a:b]], first[kj[a:b]], count[kj[a:b]])
-        p, q = order[p], order[q]
-        open_ = label[p] != label[q]
-        p, q = p[open_], q[open_]
-        near = sum(popcount(s[p] ^ s[q]) for s in sides) <= wide if len(p) else np.empty(0, bool)
-        if near.any():
-            label = forest(len(ids), np.concatenate([p[near], np.arange(len(ids))]), np.concatenate([q[near], label]))
-    linked = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[linked], ids[label[linked]]
-
-
 # --- operators -------------------------------------------------------------------------------------
 
 
@@ -277,8 +247,7 @@ def simhash_components(docs: DataFrame, budget: int = 2, width: int = 3) -> Data
 
 #: The least similarity (Jaccard, of the sets of five-word shingles) of near copies.
 SIMILARITY = 0.8
-#: For similarity 0.8 of five-word shingles: cosine 0.89, an angle of 0.476, so 38.8 of 256 bits.
-WIDE_BITS = 39
+#: Bits in which the word fingerprints of candidates may differ.
 WORD_BITS = 5
 #: Least hashes of the shingles: two sets of similarity s agree on all ROWS of a band with chance
 #: s ** ROWS; at 0.8 all BANDS differ for 1.3 pairs in ten million.
@@ -287,10 +256,11 @@ FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 #: A pair of large sets is not compared if their 256 bits differ in more: six deviations above the
 #: mean at similarity 0.8.  Sets under SMALL_SET are always compared.
 LOOSE_BITS, SMALL_SET = 73, 64
-#: Members of a band from which pairs are made row by row.
-LARGE_BAND = 1000
-#: Bits of the filter on rows whose shingles are asked for; more rows than this only make it coarse.
-FILTER_BITS = 26
+#: Members of a band compared with each other in one go; a larger band is several goes.
+BAND_BLOCK = 1000
+#: Bits of the filter on rows whose shingles are asked for, and of its blocks; more rows than this only
+#: make it coarse.
+FILTER_BITS, FILTER_BLOCK = 26, 16
 
 
 def band_keys(distinct: np.ndarray) -> np.ndarray:
@@ -336,14 +306,40 @@ def near_profiles(docs: DataFrame) -> DataFrame:
 def _may_be_near(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The distinct pairs a < b of ``pairs`` (src, dst) that sizes and wide fingerprints don't rule out."""
     sides = ["n", "s1", "s2", "s3", "s4"]
-    pairs = pairs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = materialize(pairs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "simhash-asked")
+    total = pairs.count()
     for end in ("a", "b"):
-        pairs = pairs.join(points.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in sides)), end)
+        times = pairs.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("times"))
+        wanted = points.join(times, "id").select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in sides), F.col("times").alias("n"))
+        pairs = attach(pairs, wanted, end, total).drop("__salt")
     bits = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in sides[1:])
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     return pairs.where((small >= large * F.lit(SIMILARITY) - 1e-6) & ((small < SMALL_SET) | (bits <= LOOSE_BITS))).select("a", "b")
 
 
+def row_filter(places: DataFrame) -> np.ndarray:
+    """A map of 2 ** FILTER_BITS bits with those of ``places`` (place: int) set; it is put together by the
+    executors, so the driver gets the map, whose size is fixed, and no list of rows."""
+    size = 1 << FILTER_BLOCK
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy()] = True
+        found = np.flatnonzero(bits.reshape(-1, size).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([np.packbits(bits[b * size : (b + 1) * size]).tobytes() for b in found.tolist()], pa.binary())], names=["block", "bits"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    got = places.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8).reshape(-1, size // 8)
+    for block, bits in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b: ids) whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, as src, dst.
 
@@ -352,11 +348,9 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     place = F.xxhash64("doc_id", "text_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("place")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    asked = points.join(ends, "id", "left_semi").select("best.doc_id", "best.text_hash").select(place).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[asked] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(bits))
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    asked = ends.groupBy("id").agg(F.count("*").alias("n"))
+    bitmap = spark.sparkContext.broadcast(row_filter(points.join(asked, "id", "left_semi").select("best.doc_id", "best.text_hash").select(place)))
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).select(place, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,78 +371,84 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
                 near.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["src", "dst"])
 
-    sets = source.mapInArrow(run, "id bigint, shingles binary")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "src bigint, dst bigint")
+    sets = source.mapInArrow(run, "id bigint, shingles binary").dropDuplicates(["id"])
+    total = pairs.count()
+    both = pairs.select("a", "b")
+    for end, name in (("a", "x"), ("b", "y")):
+        times = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        wanted = sets.join(times, sets.id == times[end]).select(end, "n", F.col("shingles").alias(name))
+        both = attach(both, wanted, end, total).drop("__salt")
+    return both.where("x IS NOT NULL AND y IS NOT NULL").select("a", "b", "x", "y").mapInArrow(compare, "src bigint, dst bigint")
 
 
 def band_members(points: DataFrame) -> DataFrame:
-    """key, id, leader of the bands' keys that two points or more have; the leader is one of them."""
-    dealt = points.select(F.explode("bands").alias("key"), "id").repartition(partitions(points.sparkSession), "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        key, own = (table.column(c).to_numpy() for c in ("key", "id"))
-        order = np.lexsort((mix64(own.view(np.uint64) ^ key.view(np.uint64)), key))
-        key, own = key[order], own[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        many = np.repeat(size > 1, size)
-        lead = np.repeat(own[first], size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, own, lead)], names=["key", "id", "leader"])
-
-    return dealt.mapInArrow(run, "key bigint, id bigint, leader bigint")
+    """key, id, leader of the bands' keys that two points or more have; the leader is one of them, and
+    one with a small hash, so that bands of like members have one leader."""
+    spread = points.select(F.explode("bands").alias("key"), "id")
+    lead = spread.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    lead = materialize(lead.select("key", F.col("first.id").alias("leader"), "n"), "simhash-leaders")
+    return attach(spread, lead, "key", lead.agg(F.sum("n")).first()[0] or 0).where("leader IS NOT NULL").select("key", "id", "leader")
 
 
 def band_pairs(members: DataFrame) -> DataFrame:
     """src, dst (ids): pairs of ``members`` (key, id, root, n, s1 to s4) with one key and two roots that
-    sizes and wide fingerprints don't rule out."""
+    sizes and wide fingerprints don't rule out.
+
+    The members of a large band are dealt to blocks of some ``BAND_BLOCK`` members, and each two blocks
+    are a task's work of their own.
+    """
     sides = ["s1", "s2", "s3", "s4"]
+    blocks = F.ceil(F.col("size") / BAND_BLOCK)
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = materialize(mixed.select("key", F.col("n").alias("size"), "n"), "simhash-mixed")
+    total = mixed.agg(F.sum("n")).first()[0] or 0
+    found = attach(members.withColumnRenamed("n", "count"), mixed, "key", total).where("size IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    work = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    work = work.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "count", *sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        order = np.argsort(table.column("key").to_numpy(), kind="stable")
-        key, own, root, n = (table.column(c).to_numpy()[order] for c in ("key", "id", "root", "n"))
-        bits = [table.column(c).to_numpy()[order].view(np.uint64) for c in sides]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        col = lambda c: table.column(c).to_numpy()
+        order = np.lexsort((col("j"), col("i"), col("key")))
+        key, gi, gj, block, own, root, n = (col(c)[order] for c in ("key", "i", "j", "block", "id", "root", "count"))
+        bits = [col(c)[order].view(np.uint64) for c in sides]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (gi[1:] != gi[:-1]) | (gj[1:] != gj[:-1])])
+        first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(key)))
-        mixed = np.maximum.reduceat(root, first) != np.minimum.reduceat(root, first)
-        first, size = first[mixed], size[mixed]
+        one = gi[first] == gj[first]
 
-        def near(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        def near(p: np.ndarray, q: np.ndarray, within: np.ndarray) -> pa.RecordBatch:
             small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
-            good = (p < q) & (root[p] != root[q]) & (small >= large * SIMILARITY - 1e-6)
+            good = (p < q) & (within | (block[p] != block[q])) & (root[p] != root[q]) & (small >= large * SIMILARITY - 1e-6)
             p, q, small = p[good], q[good], small[good]
             good = (small < SMALL_SET) | (sum(popcount(s[p] ^ s[q]) for s in bits) <= LOOSE_BITS)
             return pa.RecordBatch.from_arrays([pa.array(own[p[good]]), pa.array(own[q[good]])], names=["src", "dst"])
 
-        few = size <= LARGE_BAND
-        lo, k = first[few], size[few]
-        step = np.cumsum(k * k) >> 20
+        step = np.cumsum(size * size) >> 20
         for s in np.unique(step):
-            at = step == s
-            yield near(*_products(lo[at], k[at], lo[at], k[at]))
-        for a, k in zip(first[~few].tolist(), size[~few].tolist()):
-            for i in range(a, a + k - 1):
-                q = np.arange(i + 1, a + k)
-                yield near(np.full(len(q), i), q)
-
-    dealt = members.select("key", "id", "root", "n", *sides).repartition(partitions(members.sparkSession), "key")
+            at = np.flatnonzero(step == s)
+            if len(at) == 1 and size[at[0]] > BAND_BLOCK:  # two blocks: row by row
+                a, k = int(first[at[0]]), int(size[at[0]])
+                for lo in range(a, a + k, 256):
+                    p, q = np.meshgrid(np.arange(lo, min(lo + 256, a + k)), np.arange(lo, a + k), indexing="ij")
+                    yield near(p.ravel(), q.ravel(), np.full(p.size, one[at[0]]))
+            else:
+                yield near(*_products(first[at], size[at], first[at], size[at]), np.repeat(one[at], size[at] ** 2))
+
+    dealt = work.repartition(partitions(members.sparkSession), "key", "i", "j")
     return dealt.mapInArrow(run, "src bigint, dst bigint")
 
 
-def near_groups(docs: DataFrame, word_bits: int = WORD_BITS, wide_bits: int = WIDE_BITS) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, word_bits: int = WORD_BITS) -> tuple[DataFrame, DataFrame]:
     """The profiles of all rows, and id, best (row), root of their distinct sets of shingles.
 
     Points of one root are connected by links of Jaccard similarity 0.8 or more, each verified.  Links
-    are sought in two rounds: those of the trie join and of each band's members to its leader; then all
-    pairs in a band that are not connected yet, so that a large group costs no pair of its members twice.
+    are sought in two rounds: those of the trie join of word fingerprints, of points to the leader of
+    their fingerprint, and of each band's members to its leader; then all pairs in a band that are not
+    connected yet, so that a large group costs no pair of its members twice.
     """
     marked = materialize(near_profiles(docs), "simhash-profile")
     sides = ["s1", "s2", "s3", "s4"]
@@ -456,8 +456,10 @@ def near_groups(docs: DataFrame, word_bits: int = WORD_BITS, wide_bits: int = WI
     least = F.min(F.struct("doc_id", "text_hash", "fp", "n", *sides, "bands"))
     best = marked.groupBy("id").agg(least.alias("m")).select("id", F.struct("m.doc_id", "m.text_hash").alias("best"), *(f"m.{c}" for c in ("fp", "n", *sides, "bands")))
     points = materialize(best, "simhash-points")
+    heads = materialize(points.groupBy("fp").agg(F.min("id").alias("head"), F.count("*").alias("n")), "simhash-heads")
     members = materialize(band_members(points), "simhash-bands")
-    links = trie_links(points.select("id", "fp", *sides), word_bits, wide_bits)
+    links = trie_links(heads.select(F.col("head").alias("id"), "fp"), word_bits)
+    links = links.union(attach(points.select("id", "fp"), heads.where("n > 1"), "fp", points.count()).where("head IS NOT NULL").select("id", "head"))
     asked = materialize(_may_be_near(links.union(members.select("id", "leader")), points), "simhash-pairs")
     first = materialize(verified(asked, points, docs), "simhash-links")
     roots = materialize(connected_components(first), "simhash-roots")
@@ -469,19 +471,21 @@ def near_groups(docs: DataFrame, word_bits: int = WORD_BITS, wide_bits: int = WI
     return marked, points.join(roots, points.id == roots.node, "left").select("id", "best", F.coalesce("root", "id").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, word_bits: int = WORD_BITS, wide_bits: int = WIDE_BITS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, word_bits: int = WORD_BITS) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the least doc_id.
 
     Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or
     more (see ``near_groups``); groups are the connected components.  Rows without a doc_id sort first;
-    of repeated rows one stays.  Columns are unchanged.
+    of repeated rows one stays.  Columns are unchanged, whatever their names.
     """
-    marked, rooted = near_groups(docs, word_bits, wide_bits)
+    marked, rooted = near_groups(docs, word_bits)
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash")
-    copies = marked.groupBy("doc_id", "text_hash").count()
-    kept = kept.join(copies, kept.doc_id.eqNullSafe(copies.doc_id) & (kept.text_hash == copies.text_hash)).select(kept.doc_id.alias("__id"), kept.text_hash.alias("__hash"), F.col("count").alias("__n"))
-    hashed = docs.withColumn("__text", F.xxhash64("text"))
-    found = hashed.join(kept, hashed.doc_id.eqNullSafe(kept["__id"]) & (F.col("__text") == F.col("__hash")))
-    single = found.where("__n = 1").select(*docs.columns)
-    repeated = found.where("__n > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    copies = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = kept.join(copies, kept.doc_id.eqNullSafe(copies.doc_id) & (kept.text_hash == copies.text_hash)).select(kept.doc_id, kept.text_hash, "n")
+    # The input's columns travel in one struct, so that no name of theirs can clash.
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    hashed = row.select("row", F.col("row.doc_id").alias("own_id"), F.xxhash64("row.text").alias("own_hash"))
+    found = hashed.join(kept, hashed.own_id.eqNullSafe(kept.doc_id) & (hashed.own_hash == kept.text_hash))
+    single = found.where("n = 1").select("row.*")
+    repeated = found.where("n > 1").groupBy("own_id", "own_hash").agg(F.first("row").alias("row")).select("row.*")
     return single.unionByName(repeated)

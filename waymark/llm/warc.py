@@ -124,7 +124,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     shared = materialize(shared.where("n > 1 AND winner IS NOT NULL"), "warc-shared")
     found = attach(rows, shared, "digest", pages.count())
     # Equal rows, which are together after the exchange, are numbered.
-    equal = Window.partitionBy("__deal", "__key", "digest", "page_id", "url").orderBy(F.lit(0))
+    equal = Window.partitionBy("digest", "__salt", "page_id", "url").orderBy(F.lit(0))
     found = found.withColumn("copy", F.row_number().over(equal))
     winner = F.when(~F.col("page_id").eqNullSafe(F.col("winner.page_id")), record_id(F.col("winner.page_id"), F.col("digest"), F.col("winner.url_hash"), F.lit(1)))
     return found.select("url", "html", "digest", record_id(F.col("page_id"), F.col("digest"), F.col("url_hash"), F.col("copy")).alias("id"), winner.alias("refers_to"))
@@ -257,7 +257,7 @@ def resolve(stored: DataFrame) -> DataFrame:
     responses, revisits = stored.where("type = 'response'"), stored.where("type = 'revisit'").drop("payload_bytes", "payload_digest")
     targets = responses.select(F.col("id").alias("refers_to"), "payload_bytes", "payload_digest")
     targets = targets.join(revisits.groupBy("refers_to").agg(F.count("*").alias("n")), "refers_to")
-    found = attach(revisits, targets, "refers_to", stored.count()).drop("__deal", "__key")
+    found = attach(revisits, targets, "refers_to", stored.count()).drop("__salt")
     checked = F.when(F.coalesce("digest", "payload_digest") == F.col("payload_digest"), F.col("payload_digest"))
     broken = F.raise_error(F.concat(F.lit("a revisit names no record that has its payload: "), F.col("id")))
     return responses.unionByName(found.withColumn("payload_digest", F.coalesce(checked, broken.cast("string"))))
