@@ -1,6 +1,8 @@
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from waymark import registry
 from waymark.functions.codes import Domain, Rect
@@ -59,6 +61,97 @@ def test_statuses(golden):
     refs = golden.snapshot.chunks.select("tid", "chunk_id")
     with pytest.raises(plan_ops.DataIntegrityError):
         plan_ops.fetch_trajectory_chunk(refs, golden.snapshot.chunks.where("tid <> 2"), check=True)
+    assert Engine(golden.snapshot, limits=Limits(max_candidate_bytes=1)).run(golden_query()).status == "RESOURCE_EXHAUSTED"
+    late = Engine(golden.snapshot, limits=Limits(deadline_s=0.0)).run(golden_query())
+    assert late.status == "RESOURCE_EXHAUSTED" and not late.rows and "within" in late.error
+    assert Engine(golden.snapshot, limits=Limits(deadline_s=300)).run(golden_query()).status == "OK"
+    nobody = golden_query()
+    nobody["similarity"]["reference_tid"] = 99
+    assert golden.run(nobody).status == "DATA_INTEGRITY_ERROR"
+    with pytest.raises(plan_ops.DataIntegrityError):
+        golden.query(nobody)
+
+
+def test_budgets_count_the_reference_if_it_is_compared(golden):
+    # Points of A and B with R's three, and of R itself: 18 and 27 cells.
+    for exclude, cells in ((True, 18), (False, 18)):
+        run = lambda n: Engine(golden.snapshot, limits=Limits(max_cells=n)).run(golden_query(exclude=exclude)).status  # noqa: B023, E731
+        assert run(cells) == "OK" and run(cells - 1) == "RESOURCE_EXHAUSTED"
+    wide = registry.bound([(T0, T0 + 9 * STEP)], similar=golden_query(exclude=False)["similarity"], k=2)
+    run = lambda n: Engine(golden.snapshot, limits=Limits(max_cells=n)).run(wide).status
+    assert run(33) == "OK" and run(32) == "RESOURCE_EXHAUSTED"  # A, B, R with three points and C with two
+
+
+@pytest.mark.parametrize("topk", [False, True])
+def test_a_lost_chunk_is_an_error_and_no_answer(spark, topk):
+    made = build(spark, {k: (k, [(T0 + i * STEP, x, y) for i, (x, y) in enumerate(pts)]) for k, pts in GOLDEN.items()}, verify=False)
+    kept = made.chunks.where("tid <> 1").collect()
+    made._tables["chunks"] = spark.createDataFrame(kept, made.chunks.schema)
+    engine = Engine(made)
+    q = golden_query() if topk else registry.bound([(T0, T0 + 2 * STEP)], [Rect(4.0, 4.0, 8.0, 8.0)])
+    result = engine.run(q, path="indexed")
+    assert result.status == "DATA_INTEGRITY_ERROR" and not result.rows
+    with pytest.raises(plan_ops.DataIntegrityError):
+        engine.matching(q, "indexed", check=True)
+
+
+def test_unsound_plans_do_not_run(golden, monkeypatch):
+    q = registry.bound([(T0, T0 + 1)], [Rect(0.0, 0.0, 9.0, 9.0)])
+    good = planner.document
+    monkeypatch.setattr(planner, "document", lambda ir, plan: good(ir, plan) | {"root": "n0"})
+    assert golden.run(q, path="indexed").status == "NO_SAFE_PLAN"
+    with pytest.raises(planner.NoSafePlan):
+        golden.query(q, path="indexed")
+
+
+def test_snapshots_are_clustered_and_rebuilt_beside_the_old(spark, monkeypatch):
+    rng = random.Random(3)
+    trajectories = {f"t{i:03d}": (f"v{i % 5}", sorted({T0 + rng.randrange(20 * 86_400_000): (rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(30)}.items())) for i in range(60)}
+    trajectories = {t: (v, [(ms, x, y) for ms, (x, y) in pts]) for t, (v, pts) in trajectories.items()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = build(spark, trajectories, kinds=("time",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    day = 86_400_000
+    spans = made.points.groupBy(F.input_file_name()).agg(F.floor(F.min("t_ms") / day).alias("lo"), F.floor(F.max("t_ms") / day).alias("hi")).orderBy("lo").collect()
+    assert len(spans) > 1 and all(a.hi <= b.lo for a, b in zip(spans, spans[1:]))
+    assert made.size == (made.chunks.count(), 1800)
+    before = dict(made.manifest["indexes"])
+    monkeypatch.setattr(snapshot.postings, "verify", lambda kind, *a: made.points)
+    with pytest.raises(snapshot.SnapshotError):
+        snapshot.rebuild_postings(made, "time")
+    with pytest.raises(snapshot.SnapshotError):
+        made.postings("zorder")
+    assert snapshot.open_snapshot(spark, made.path).manifest["indexes"] == before
+    monkeypatch.undo()
+    snapshot.rebuild_postings(made, "time")
+    made.postings("hash")
+    again = snapshot.open_snapshot(spark, made.path)
+    assert again.manifest["indexes"]["time"] != before["time"] and "hash" in again.manifest["indexes"]
+    assert again.postings("time").count() == postings.build("time", made.chunks, made.layout).count()
+
+
+def test_instants_before_the_epoch_are_an_error(golden):
+    early = golden.snapshot.layout._replace(epoch_ms=T0 + STEP)
+    with pytest.raises(Exception, match="before the epoch"):
+        postings.build("time", golden.snapshot.chunks, early).collect()
+
+
+def test_the_flat_path_is_a_candidate(golden):
+    q = registry.bound([(T0, T0 + 1)], [Rect(0.0, 0.0, 9.0, 9.0)])
+    names = [p.plan_id if p else "FLAT" for _, p in planner.costed(golden, q)]
+    assert names[0] == "FLAT" and {"P_TZ", "P_TZ_MERGED", "P_TZ_BIPART", "P_TZ_QUAD", "P_TZ_BIPART_QUAD_MERGED", "P_FULL"} <= set(names) and len(set(names)) == len(names)
+    assert planner.choose_path(golden, q) == ("flat", None)
+    assert [r.trajectory_id for r in golden.query(q, path="auto").collect()] == [r.trajectory_id for r in golden.query(q).collect()] == ["A", "R"]
+    assert golden.run(q, path="auto").status == "OK" and "chosen: FLAT" in golden.explain(q)
+
+
+def test_run_artifacts_are_written(golden, tmp_path):
+    q = registry.bound([(T0, T0 + 1)])
+    golden.artifacts(q, f"file://{tmp_path}/run")
+    body = json.loads(golden.spark.read.text(f"file://{tmp_path}/run").first()[0])
+    assert body["ir"] == q and body["candidates"][0]["plan_id"] and "Scan parquet" in body["explain"]
 
 
 def test_postings_are_verified_in_both_directions(golden):
@@ -102,7 +195,7 @@ def test_every_plan_gives_the_oracle_answer(spark):
         want = oracle(trajectories, q)
         assert [r.trajectory_id for r in engine.query(q).collect()] == want
         assert [r.trajectory_id for r in engine.query(q, path="chunks").collect()] == want
-        for plan in rng.sample(planner.candidates(q), 3):
+        for plan in [*rng.sample(planner.candidates(q), 3), rng.choice(planner.twins(planner.Plan("time", "zorder", False)))]:
             planner.validate(planner.document(q, plan), q)
             assert [r.trajectory_id for r in engine.query(q, path="indexed", plan=plan).collect()] == want
 
@@ -123,6 +216,16 @@ def test_plan_documents_that_must_be_refused():
         lambda p: next(n for n in p["nodes"] if n["op"] == "EXACT_ST_FILTER")["params"].update(predicate_refs=["/temporal"]),
         lambda p: next(n for n in p["nodes"] if n["op"] == "TOP_K")["params"].update(k=9),
         lambda p: p["nodes"].append({"id": "n77", "op": "FULL_SCAN_CHUNKS", "inputs": []}),
+        lambda p: p["nodes"][0]["params"].update(predicate_ref="/spatial"),
+        lambda p: p["nodes"][0]["params"].update(predicate_ref="/temporal/7"),
+        lambda p: p["nodes"][0]["params"].pop("predicate_ref"),
+        lambda p: p["nodes"][1]["params"].update(max_ranges=0),
+        lambda p: p["nodes"][1]["params"].update(max_ranges=5000),
+        lambda p: p["nodes"][0]["params"].update(max_ranges=5),
+        lambda p: next(n for n in p["nodes"] if n["op"] == "FETCH_TRAJECTORY_CHUNK").update(params={"fetch_batch": True}),
+        lambda p: next(n for n in p["nodes"] if n["op"] == "BATCH_GET_TRAJECTORY").update(params={"topk_lb_b0": 8, "topk_lb_k": 3}),
+        lambda p: next(n for n in p["nodes"] if n["op"] == "BATCH_GET_TRAJECTORY").update(params={"topk_lb_b0": 8, "topk_lb_k": 2, "topk_lb_growth": 1}),
+        lambda p: next(n for n in p["nodes"] if n["op"] == "INTERSECT")["params"].update(merge="GUESS"),
     ):
         bad = planner.document(q, planner.Plan("time", "zorder", False))
         change(bad)
@@ -186,7 +289,7 @@ def test_dialog(golden):
     assert run("How many cars were in centre?", draft).status == ir.UNSUPPORTED
     assert run("who passed centre that morning", "no json", draft).status == ir.OK
     # A region that the question does not hold is the model's invention.
-    assert "spatial" not in run("who drove that morning", draft).ir
+    assert run("who drove that morning", draft).clarify == "spatial"
     topk = frontends.draft("d", similar={"metric": "DTW", "reference_trajectory_id": "R"}, k=2, area={"region_name": "centre"})
     asked = []
     got = run("the 2 nearest to R in centre", topk, ask=lambda q: asked.append(q) or "by DTW")
@@ -194,6 +297,60 @@ def test_dialog(golden):
     assert run("centre", draft, confirm=lambda s: False).status == ir.NEED_CLARIFICATION
 
 
+@pytest.mark.parametrize("text", [
+    "Trajectories of taxi 8857 with average speed under 10 km/h between 21:00 and 22:00", "COUNT how many trajectories", "Find trajectories whose continuous path segment crosses the ring road",
+    "Use continuous Fréchet distance to find neighbors of 8857-8857_14", "Top-3 trajectories most similar to 8857-8857_14 using EDIT_DISTANCE", "Find pairs of taxis that were within 50m of each other in beijing_core tonight",
+    "Taxis with a stay point in guomao", "dwell over ten minutes", "平均速度低于 10 的出租车", "有多少条轨迹经过国贸", "停留点在望京的轨迹", "两两相遇的出租车", "trajectories by LCSS",
+])
+def test_what_cannot_be_expressed_is_refused_early(golden, text):
+    client = dialog.ScriptedClient([frontends.draft("d", vehicle="8857")])
+    assert dialog.Dialog(client, golden.binder()).run(text).status == ir.UNSUPPORTED and not client.asked
+
+
+@pytest.mark.parametrize("text", ["Find trajectories of taxi 8857 between 2008-02-03T21:00:00+08:00 and 2008-02-03T22:00:00+08:00", "Use FRECHET distance to find neighbors of 8857-8857_14", "Trajectories in country roads"])
+def test_what_can_be_expressed_is_not(text):
+    assert dialog.early_refusal(text) is None
+
+
+def similar_draft(**more):
+    return frontends.draft("d", similar={"metric": "DTW", "reference_trajectory_id": "8857-8857_14"}, k=3, **more)
+
+
+def test_grounding():
+    regions, window = ir.registered(), ("2008-02-03T20:50:00+08:00", "2008-02-03T21:20:00+08:00")
+    made_up = dialog.ground(similar_draft(temporal=window), "Find k=3 trajectories most similar to 8857-8857_14 between then and then", regions)
+    assert "metric" not in made_up["similarity"] and dialog.missing(made_up) == ["metric", "spatial"]
+    place = dialog.ground(frontends.draft("d", area={"region_name": "beijing_core"}), "Trajectories through 火星广场 yesterday", regions)
+    assert "spatial" not in place and "spatial" in dialog.missing(place)
+    text = "Top-3 DTW neighbors of 8857-8857_14 intersecting tdrive_smoke_anchor between then and then"
+    assert dialog.ground(similar_draft(vehicle="8857"), text, regions)["predicates"] == []
+    assert len(dialog.ground(similar_draft(vehicle="8857"), "Among taxi 8857 trajectories, find 3 DTW neighbors of 8857-8857_14", regions)["predicates"]) == 1
+    several = "List trajectory ids that intersect ANY of the registered regions [tdrive_topk_box, tdrive_smoke_anchor] between then and then"
+    got = dialog.ground(frontends.draft("d", window) | {"missing": ["spatial"]}, several, regions)
+    assert [a["region_name"] for a in got["spatial_parts"]] == ["tdrive_smoke_anchor", "tdrive_topk_box"] and dialog.missing(got) == []
+    chinese = "查找期间经过【中关村、望京】任一注册区域的轨迹ID（对应 region: zhongguancun, wangjing）"
+    parts = frontends.draft("d", window) | {"spatial_parts": [{"region_name": "zhongguancun"}, {"region_name": "wangjing"}, {"region_name": "guomao"}]}
+    assert sorted(a["region_name"] for a in dialog.ground(parts, chinese, regions)["spatial_parts"]) == ["wangjing", "zhongguancun"]
+    assert dialog.named_regions("porto ribeira or the Ribeira", regions) == ["porto_ribeira", "ribeira"] and dialog.named_regions("in porto_ribeira", regions) == ["porto_ribeira"]
+
+
+def test_an_answer_sets_the_asked_field_alone(golden):
+    regions = golden.regions
+    draft = similar_draft(area={"region_name": "centre"})
+    for field, answer, path in (("metric", "by Fréchet, in uptown, 7 of them", ("similarity", "metric")), ("k", "DTW, 7", ("result", "k")), ("reference_trajectory_id", "like R.", ("similarity", "reference_trajectory_id"))):
+        got = dialog.answered(draft, field, answer, regions)
+        changed = {(k, n) for k in ("similarity", "result") for n in got[k] if got[k][n] != draft[k].get(n)}
+        assert changed == {path} and {k: v for k, v in got.items() if k != path[0]} == {k: v for k, v in draft.items() if k != path[0]}
+    assert dialog.answered(draft, "temporal", "2008-02-02T08:00:00 to 2008-02-02T09:00:00 by DTW", regions) == draft | {"temporal": {"start": "2008-02-02T08:00:00", "end": "2008-02-02T09:00:00"}}
+    assert dialog.answered(draft, "spatial", "1 2 3.5 -4", regions)["spatial"]["geometry"]["max_lat"] == -4.0
+    assert dialog.answered(draft, "metric", "the best one", regions)["similarity"] == draft["similarity"]
+    # The model is asked once, whatever is asked back.
+    client, said = dialog.ScriptedClient([similar_draft() | {"similarity": {"metric": "DTW", "reference_trajectory_id": "R"}}]), iter(["no idea", "DTW", "nowhere", "centre"])
+    asked = []
+    got = dialog.Dialog(client, golden.binder(), ask=lambda q: asked.append(q) or next(said)).run("the 3 most similar to R")
+    assert len(client.asked) == 1 and [q.split()[0] for q in asked] == ["metric", "metric", "constraint", "constraint"] and got.status in (ir.OK, ir.NEED_CLARIFICATION)
+
+
 @pytest.mark.parametrize("name", ["exact_st", "topk_dtw", "fetch_chunks", "posting_verify_extra"])
 def test_registered_queries_match_their_sql(spark, name):
     import duckdb

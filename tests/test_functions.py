@@ -1,6 +1,8 @@
 import math
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,7 +51,56 @@ def test_hand_calculated_distances(spark):
         df = spark.createDataFrame([([{"x": float(x), "y": float(y)} for x, y in a], [{"x": float(x), "y": float(y)} for x, y in b])], f"a {POINTS}, b {POINTS}")
         assert df.select(distance.distance(m, F.col("a"), F.col("b"))).first()[0] == pytest.approx(want)
     empty = spark.createDataFrame([([], [])], f"a {POINTS}, b {POINTS}")
-    assert empty.select(distance.dtw(F.col("a"), F.col("b"))).first()[0] is None
+    for m in distance.METRICS:
+        with pytest.raises(Exception, match="empty trajectory"):
+            empty.select(distance.distance(m, F.col("a"), F.col("b"))).collect()
+
+
+def point_batch(lines):
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    return pa.RecordBatch.from_arrays([pa.array(range(len(lines)), pa.int64()), pa.array([[{"x": x, "y": y} for x, y in a] for a in lines], kind)], names=["tid", "pts"])
+
+
+@pytest.mark.parametrize("cells", [1, 20, 1 << 18])
+@pytest.mark.parametrize("metric", distance.METRICS)
+def test_scorer_against_plain_recurrences(metric, cells, monkeypatch):
+    monkeypatch.setattr(distance, "CELLS", cells)
+    rng = random.Random(cells)
+    line = lambda n: [(rng.uniform(0, 50), rng.uniform(0, 50)) for _ in range(n)]
+    for size in (1, 2, 9):
+        reference, lines = line(size), [line(rng.randint(1, 14)) for _ in range(25)]
+        scorer = distance.Scorer(metric, reference)
+        batch = point_batch([[(0.0, 0.0)], *lines]).slice(1)
+        want = [reference_distance(metric, a, reference) for a in lines]
+        got = next(scorer.score(iter([batch])))
+        assert got.column("distance").to_pylist() == pytest.approx(want, rel=1e-12)
+        assert all(b <= w * (1 + 1e-12) for b, w in zip(scorer.bounds(*distance.point_arrays(batch.column(1))), want))
+        best = next(scorer.best(iter([batch.slice(0, 9), batch.slice(9)]), 4, 1e-9))
+        assert best.column("tid").to_pylist() == [t + 1 for _, t in sorted((w, i) for i, w in enumerate(want))[:4]]
+    with pytest.raises(ValueError, match="empty trajectory"):
+        next(scorer.score(iter([point_batch([[]])])))
+    with pytest.raises(ValueError, match="empty trajectory"):
+        distance.Scorer(metric, [])
+
+
+def test_pruning_scores_few(monkeypatch):
+    rng = random.Random(0)
+    reference = [(0.1 * i, 0.0) for i in range(40)]
+    lines = [[(0.1 * i + rng.uniform(0, 90), 5.0 * k) for i in range(40)] for k in range(400)]
+    scorer, scored = distance.Scorer("DTW", reference), []
+    plain = distance.Scorer.distances
+    monkeypatch.setattr(distance.Scorer, "distances", lambda self, sizes, x, y: scored.append(len(sizes)) or plain(self, sizes, x, y))
+    next(scorer.best(iter([point_batch(lines)]), 3, 1e-9))
+    assert sum(scored) < 200
+
+
+@pytest.mark.parametrize("metric", distance.METRICS)
+def test_long_trajectories_take_seconds(metric):
+    rng = random.Random(1)
+    walk = lambda: [(float(i), rng.uniform(0, 9)) for i in range(5000)]
+    began = time.time()
+    assert distance.Scorer(metric, walk()).score(iter([point_batch([walk()])])).__next__().column("distance")[0].as_py() > 0
+    assert time.time() - began < 10
 
 
 def test_metric_is_never_defaulted():

@@ -11,11 +11,12 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from waymark.functions import projection
 from waymark.operators import ingest, postings
 from waymark.plans import dialog, frontends
-from waymark.plans.engine import PATHS, Engine
+from waymark.plans.engine import AUTO, PATHS, Engine
 from waymark.sources import parsers, snapshot
 
 
@@ -48,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("postings", choices=postings.KINDS)
         elif name.startswith("query") or name == "explain":
             p.add_argument("query", help="the query's text, or @file")
-            p.add_argument("--path", choices=PATHS, default="flat")
+            p.add_argument("--path", choices=(*PATHS, AUTO), default=AUTO)
             p.add_argument("--crs", default="EPSG:32650")
             p.add_argument("--now-ms", type=int)
             if name == "query-nl":
@@ -66,8 +67,12 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         out(ingest.profile(cleaned.points).first().asDict())
         return 0
     if args.command == "build-snapshot":
-        made = snapshot.build_snapshot(spark, raw_points(spark, args), args.out, args.dataset_id, args.chunk_points, args.bucket_ms)
-        out(made.manifest)
+        parsed = parsers.read_raw(spark, args.input, args.kind)
+        # A line that can't be parsed has no id: the stored reject shows how it begins.
+        rejects = parsed.rejected.select(F.col("line_preview").alias("trajectory_id"), "reason").unionByName(ingest.empty_rejects(parsed.accepted))
+        made = snapshot.build_snapshot(spark, raw_points(spark, args), args.out, args.dataset_id, args.chunk_points, args.bucket_ms, rejects=rejects)
+        reasons = {r["reason"]: r["count"] for r in made.table("rejects").groupBy("reason").count().collect()}
+        out(made.manifest | {"rejects": reasons})
         return 0
     opened = snapshot.open_snapshot(spark, args.snapshot)
     if args.command == "build-stats":
@@ -77,7 +82,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         snapshot.rebuild_postings(opened, args.postings)
         return 0
     if args.command == "verify-snapshot":
-        faults = {k: postings.verify(k, opened.postings(k), opened.chunks, opened.layout).count() for k in opened.manifest["stored_kinds"]}
+        faults = {k: postings.verify(k, opened.postings(k), opened.chunks, opened.layout).count() for k in opened.manifest["indexes"]}
         out(faults)
         return int(any(faults.values()))
     text = open(args.query[1:]).read() if args.query.startswith("@") else args.query

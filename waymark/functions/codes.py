@@ -43,7 +43,8 @@ class Rect(NamedTuple):
 def time_bucket(t_ms, epoch_ms: int, bucket_ms: int):
     """Bucket of an instant (column or int); instants before the epoch are an error when indexing."""
     if isinstance(t_ms, Column):
-        return F.floor((t_ms - epoch_ms) / F.lit(bucket_ms)).cast("bigint")
+        early = F.raise_error(F.lit("an instant before the epoch has no bucket")).cast("bigint")
+        return F.when(t_ms < epoch_ms, early).otherwise(F.floor((t_ms - epoch_ms) / F.lit(bucket_ms)).cast("bigint"))
     if t_ms < epoch_ms:
         raise ValueError("an instant before the epoch has no bucket")
     return (t_ms - epoch_ms) // bucket_ms

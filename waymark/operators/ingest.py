@@ -27,28 +27,39 @@ class Cleaned(NamedTuple):
     removed: DataFrame  # trajectory_id, n_exact, n_same_time
 
 
+def judged(raw: DataFrame, domain: codes.Domain | None = None) -> DataFrame:
+    """All raw points with what cleaning decides: removed (EXACT, SAME_TIME or null), outside (of the whole
+    trajectory), seq.  One exchange, by trajectory."""
+    dealt = raw.repartition("trajectory_id")
+    order = Window.partitionBy("trajectory_id").orderBy("t_ms", "pos")
+    same = Window.partitionBy("trajectory_id", "t_ms").orderBy("pos")
+    first = dealt.withColumns({"__n": F.row_number().over(same), "__x": F.first("x_m").over(same), "__y": F.first("y_m").over(same)})
+    exact = (F.col("x_m") == F.col("__x")) & (F.col("y_m") == F.col("__y"))
+    found = first.withColumn("removed", F.when(F.col("__n") > 1, F.when(exact, "EXACT").otherwise("SAME_TIME")))
+    outside = F.lit(False)
+    if domain is not None:
+        outside = ~(F.col("x_m").between(domain.min_x, domain.max_x) & F.col("y_m").between(domain.min_y, domain.max_y))
+    off = F.max(F.col("removed").isNull() & F.coalesce(outside, F.lit(True))).over(Window.partitionBy("trajectory_id"))
+    place = F.count(F.when(F.col("removed").isNull(), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return found.withColumns({"outside": off, "seq": place.cast("int")}).select("vehicle_id", "trajectory_id", "seq", "t_ms", "x_m", "y_m", "removed", "outside")
+
+
+def sorted_out(found: DataFrame) -> Cleaned:
+    """Points, rejects and counts of removed points from what ``judged`` gives."""
+    kept = found.where("removed IS NULL")
+    points = kept.where("NOT outside").select("vehicle_id", "trajectory_id", "seq", "t_ms", "x_m", "y_m")
+    rejects = kept.where("outside AND seq = 0").select("trajectory_id", F.lit("OUT_OF_DOMAIN").alias("reason"))
+    times = lambda name: F.count(F.when(F.col("removed") == name, 1))
+    return Cleaned(points, rejects, found.groupBy("trajectory_id").agg(times("EXACT").alias("n_exact"), times("SAME_TIME").alias("n_same_time")))
+
+
 def clean(raw: DataFrame, domain: codes.Domain | None = None) -> Cleaned:
     """Stable order by time; of points with one time the first stays; trajectories that leave the closed
     domain are rejected whole; seq counts from 0.
 
     A removed point counts as exact if it equals the kept point of its time in place too.
     """
-    same = Window.partitionBy("trajectory_id", "t_ms").orderBy("pos")
-    ranked = raw.withColumns({"__n": F.row_number().over(same), "__x": F.first("x_m").over(same), "__y": F.first("y_m").over(same)})
-    exact = (F.col("x_m") == F.col("__x")) & (F.col("y_m") == F.col("__y"))
-    removed = ranked.groupBy("trajectory_id").agg(
-        F.count(F.when((F.col("__n") > 1) & exact, 1)).alias("n_exact"), F.count(F.when((F.col("__n") > 1) & ~exact, 1)).alias("n_same_time")
-    )
-    kept = ranked.where("__n = 1")
-    outside = F.lit(False)
-    if domain is not None:
-        outside = ~(F.col("x_m").between(domain.min_x, domain.max_x) & F.col("y_m").between(domain.min_y, domain.max_y))
-    whole = Window.partitionBy("trajectory_id")
-    order = Window.partitionBy("trajectory_id").orderBy("t_ms", "pos")
-    judged = kept.withColumns({"__out": F.max(F.coalesce(outside, F.lit(True))).over(whole), "seq": F.row_number().over(order) - 1})
-    points = judged.where(~F.col("__out")).select("vehicle_id", "trajectory_id", "seq", "t_ms", "x_m", "y_m")
-    rejects = judged.where("__out AND seq = 0").select("trajectory_id", F.lit("OUT_OF_DOMAIN").alias("reason"))
-    return Cleaned(points, rejects, removed)
+    return sorted_out(judged(raw, domain))
 
 
 def empty_rejects(accepted: DataFrame) -> DataFrame:

@@ -109,10 +109,16 @@ def chunk_meta_filter(refs: DataFrame, chunks: DataFrame, ir: dict) -> DataFrame
     return refs.join(chunks.where(predicates.chunk_predicate(ir)).select(*REFS), REFS, "left_semi")
 
 
+def check_chunks(refs: DataFrame, chunks: DataFrame) -> None:
+    """Raise if a referenced chunk is not stored."""
+    if refs.join(chunks.select(*REFS), REFS, "left_anti").limit(1).count():
+        raise DataIntegrityError("a referenced chunk is not stored")
+
+
 def fetch_trajectory_chunk(refs: DataFrame, chunks: DataFrame, check: bool = False) -> DataFrame:
     """FETCH_TRAJECTORY_CHUNK: the chunks of references; with ``check`` a missing one is an error."""
-    if check and refs.join(chunks.select(*REFS), REFS, "left_anti").limit(1).count():
-        raise DataIntegrityError("a referenced chunk is not stored")
+    if check:
+        check_chunks(refs, chunks)
     return chunks.join(refs.select(*REFS).distinct(), REFS, "left_semi")
 
 
@@ -139,26 +145,31 @@ def batch_get_trajectory(tids: DataFrame, trajectories: DataFrame) -> DataFrame:
     return trajectories.join(tids, "tid", "left_semi")
 
 
-def with_reference(candidates: DataFrame, trajectories: DataFrame, reference_tid: int) -> DataFrame:
-    """Candidates with the reference's points as column ``ref``; that side is one row, so it is broadcast."""
-    one = trajectories.where(F.col("tid") == reference_tid).select(F.lit(1).alias("__one"), F.col("pts").alias("ref"))
-    return candidates.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+Points = list[tuple[float, float]]
 
 
-def check_cells(candidates: DataFrame, trajectories: DataFrame, ir: dict, max_cells: int) -> None:
-    """Raise before scoring if the comparisons in all exceed the budget."""
-    s = ir["similarity"]
-    m = trajectories.where(F.col("tid") == s["reference_tid"]).select(F.size("pts")).first()
-    if m is None:
+def reference_points(trajectories: DataFrame, reference_tid: int) -> Points:
+    """The reference's points in order: one trajectory, so they come to the driver and go to every task."""
+    row = trajectories.where(F.col("tid") == reference_tid).select("pts.x", "pts.y").first()
+    if row is None:
         raise DataIntegrityError("the reference trajectory is not stored")
-    total = candidates.agg(F.sum(distance.cells(s["metric"], F.size("pts"), m[0]))).first()[0] or 0
-    if total > max_cells:
-        raise ResourceExhausted(f"{total} point comparisons; the budget is {max_cells}")
+    return list(zip(row[0], row[1]))
+
+
+def check_cells(candidates: DataFrame, reference: Points, metric: str, max_cells: int, max_bytes: int | None = None) -> None:
+    """Raise before scoring if the comparisons in all, or the candidates' points, exceed their budget."""
+    size = F.size("pts")
+    cells, points = candidates.agg(F.sum(distance.cells(metric, size, len(reference))), F.sum(size.cast("bigint"))).first()
+    if (cells or 0) > max_cells:
+        raise ResourceExhausted(f"{cells} point comparisons; the budget is {max_cells}")
+    if max_bytes is not None and (points or 0) * POINT_BYTES > max_bytes:
+        raise ResourceExhausted(f"{points * POINT_BYTES} bytes of candidates; the budget is {max_bytes}")
 
 
-def similarity(candidates: DataFrame, metric: str) -> DataFrame:
-    """SIMILARITY: tid and distance of each candidate (tid, pts, ref) to its reference."""
-    return candidates.select("tid", distance.distance(metric, F.col("pts"), F.col("ref")).alias("distance"))
+def similarity(candidates: DataFrame, metric: str, reference: Points) -> DataFrame:
+    """SIMILARITY: tid and distance of each candidate (tid, pts); an empty candidate is an error."""
+    scorer = distance.Scorer(metric, reference)
+    return candidates.select("tid", "pts").mapInArrow(scorer.score, "tid bigint, distance double")
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -174,25 +185,18 @@ def return_trajectory_ids(tids: DataFrame, meta: DataFrame) -> DataFrame:
 # --- pruned top-k -----------------------------------------------------------------------------------
 
 SLACK = 1e-9
-BOUND_POINTS = 64
+POINT_BYTES = 32
 
 
-def top_k_pruned(candidates: DataFrame, metric: str, k: int, first: int | None = None) -> DataFrame:
-    """TOP_K in two passes by an exact lower bound: tid, distance, as ``top_k`` of ``similarity``.
+def top_k_pruned(candidates: DataFrame, metric: str, k: int, reference: Points) -> DataFrame:
+    """TOP_K with an exact lower bound, in one pass: tid, distance, as ``top_k`` of ``similarity``.
 
-    The bound of a candidate is taken on every n/64-th of its points (all, if it has fewer than 128).  The candidates
-    with the least bounds (``first``, 4 k by default) are scored; whatever has a bound strictly over the
-    kth distance, with a relative slack, cannot be among the k and is not scored.
+    Each task scores its candidates in the order of their bounds and stops where a bound is strictly over
+    its kth distance, with a relative slack; so it passes on k rows at most.
     """
-    step = F.greatest(F.lit(1), F.floor(F.size("pts") / BOUND_POINTS)).cast("int")
-    sample = F.filter("pts", lambda p, i: i % step == 0)
-    bounded = candidates.withColumn("__bound", distance.lower_bound(metric, sample, F.col("ref")))
-    nearest = bounded.orderBy("__bound", "tid").limit(first or 4 * k)
-    kth = top_k(similarity(nearest, metric), k)
-    cut = kth.agg(F.when(F.count("*") >= k, F.max("distance")).alias("cut"))
-    limit = cut.scalar()
-    kept = bounded.where(limit.isNull() | (F.col("__bound") <= limit * (1 + SLACK)))
-    return top_k(similarity(kept, metric), k)
+    scorer = distance.Scorer(metric, reference)
+    best = candidates.select("tid", "pts").mapInArrow(lambda batches: scorer.best(batches, k, SLACK), "tid bigint, distance double")
+    return top_k(best, k)
 
 
 def ranked(scored: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ REF = ("tid", "chunk_id")
 
 
 def time_postings(chunks: DataFrame, layout: Layout) -> DataFrame:
-    """A chunk is posted to every bucket from its first to its last time."""
+    """A chunk is posted to every bucket from its first to its last time; one before the epoch is an error."""
     bucket = lambda c: codes.time_bucket(F.col(c), layout.epoch_ms, layout.bucket_ms)
     return chunks.select(F.explode(F.sequence(bucket("t_min"), bucket("t_max"))).alias("code"), *REF)
 

@@ -2,12 +2,14 @@
 
 The default path filters the flat points table, where the exact predicate is plain comparisons that
 reach the Parquet scan.  The chunk path prunes by extents first; indexed paths run an access plan of
-posting scans.  All give the same answer; ``check`` compares them.
+posting scans; "auto" takes the cheapest of all.  All give the same answer; ``check`` compares them.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from waymark.plans import planner, predicates
 from waymark.sources.snapshot import Snapshot, SnapshotError
 
 PATHS = ("flat", "chunks", "indexed")
+AUTO = "auto"
 
 
 @dataclass
@@ -27,6 +30,8 @@ class Limits:
 
     max_candidate_chunks: int = 200_000
     max_cells: int = 500_000_000
+    max_candidate_bytes: int = 8 << 30
+    deadline_s: float | None = None
 
 
 @dataclass
@@ -63,46 +68,90 @@ class Engine:
 
     # --- matching trajectories ---
 
-    def matching(self, ir: dict, path: str = "flat", plan: planner.Plan | None = None) -> DataFrame:
-        """tids of the trajectories with a matching sample."""
+    def plan(self, ir: dict, plan: planner.Plan | None = None) -> planner.Plan:
+        """The given or the cheapest posting plan, if its document is sound; NoSafePlan otherwise."""
+        plan = plan or planner.choose(self, ir)
+        planner.validate(planner.document(ir, plan), ir)
+        return plan
+
+    def matching(self, ir: dict, path: str = "flat", plan: planner.Plan | None = None, check: bool = False) -> DataFrame:
+        """tids of the trajectories with a matching sample; with ``check``, a posted chunk that is not
+        stored is an error on the indexed path."""
+        if path == AUTO:
+            path, plan = planner.choose_path(self, ir)
         if path == "flat":
             return self.snapshot.points.where(predicates.point_predicate(ir)).select("tid").distinct()
-        if path == "chunks":
-            chunks = self.snapshot.chunks.where(predicates.chunk_predicate(ir))
-        elif path == "indexed":
-            plan = plan or planner.choose(self, ir)
-            refs = planner.references(self.snapshot, ir, plan)
-            chunks = self.snapshot.chunks if refs is None else ops.fetch_trajectory_chunk(ops.chunk_meta_filter(refs, self.snapshot.chunks, ir), self.snapshot.chunks)
-        else:
-            raise ValueError(f"unknown path {path}; known: {', '.join(PATHS)}")
-        return ops.project_trajectory_ids(ops.exact_st_filter(chunks, ir))
+        if path not in PATHS:
+            raise ValueError(f"no path is called {path}; there are {', '.join((*PATHS, AUTO))}")
+        chunks = self.snapshot.chunks
+        near = chunks.where(predicates.chunk_predicate(ir))
+        if path == "indexed":
+            refs = planner.references(self.snapshot, ir, self.plan(ir, plan))
+            if refs is not None:
+                if check:
+                    ops.check_chunks(refs, chunks)
+                # CHUNK_META_FILTER and FETCH_TRAJECTORY_CHUNK are one scan: the extents are filtered in it.
+                near = ops.fetch_trajectory_chunk(refs, near)
+        return ops.project_trajectory_ids(ops.exact_st_filter(near, ir))
+
+    def candidates(self, ir: dict, path: str = "flat", plan: planner.Plan | None = None, check: bool = False) -> DataFrame:
+        """tid and points of the trajectories that a TOP_K query compares."""
+        tids = self.matching(ir, path, plan, check)
+        if ir["similarity"]["exclude_reference"]:
+            tids = ops.exclude_reference(tids, ir["similarity"]["reference_tid"])
+        return ops.batch_get_trajectory(tids, self.snapshot.trajectories)
 
     def query(self, ir: dict, path: str = "flat", plan: planner.Plan | None = None, pruned: bool = False) -> DataFrame:
-        """tid, trajectory_id [, distance], ordered: by tid, or by distance and tid."""
+        """tid, trajectory_id [, distance], ordered: by tid, or by distance and tid.
+
+        The frame is lazy, so budgets and deadline, which ``run`` keeps, are not looked at.
+        """
         _ir.validate_bound(ir)
-        tids = self.matching(ir, path, plan)
         if ir["result"]["mode"] == "TRAJECTORY_IDS":
-            return ops.return_trajectory_ids(tids, self.snapshot.meta)
-        s = ir["similarity"]
-        if s["exclude_reference"]:
-            tids = ops.exclude_reference(tids, s["reference_tid"])
-        candidates = ops.with_reference(ops.batch_get_trajectory(tids, self.snapshot.trajectories), self.snapshot.trajectories, s["reference_tid"])
-        k = ir["result"]["k"]
-        best = ops.top_k_pruned(candidates, s["metric"], k) if pruned else ops.top_k(ops.similarity(candidates, s["metric"]), k)
+            return ops.return_trajectory_ids(self.matching(ir, path, plan), self.snapshot.meta)
+        s, k = ir["similarity"], ir["result"]["k"]
+        reference = ops.reference_points(self.snapshot.trajectories, s["reference_tid"])
+        found = self.candidates(ir, path, plan)
+        best = ops.top_k_pruned(found, s["metric"], k, reference) if pruned else ops.top_k(ops.similarity(found, s["metric"], reference), k)
         return best.join(self.snapshot.meta.select("tid", "trajectory_id"), "tid").select("tid", "trajectory_id", "distance").orderBy("distance", "tid")
 
     def run(self, ir: dict, path: str = "flat", pruned: bool = False) -> Result:
-        """Check the budgets, then answer with a DataFrame; a failure gives a status and no answer."""
+        """Check the budgets and that posted chunks are stored, then answer; a failure gives a status and
+        no answer.  With a deadline the answer is computed at once, else when the frame is used."""
+        tag = f"waymark-{uuid.uuid4().hex}"
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            self.spark.interruptTag(tag)
+
+        timer = threading.Timer(self.limits.deadline_s, stop) if self.limits.deadline_s is not None else None
         try:
+            if timer:
+                self.spark.addTag(tag)
+                timer.start()
             _ir.validate_bound(ir)
+            plan = None
+            if path == AUTO:
+                path, plan = planner.choose_path(self, ir)
+            if path == "indexed":
+                plan = self.plan(ir, plan)
             if path != "flat":
                 n = self.snapshot.chunks.where(predicates.chunk_predicate(ir)).count()
                 if n > self.limits.max_candidate_chunks:
                     raise ops.ResourceExhausted(f"{n} candidate chunks; the budget is {self.limits.max_candidate_chunks}")
+            if path == "indexed" and (refs := planner.references(self.snapshot, ir, plan)) is not None:
+                ops.check_chunks(refs, self.snapshot.chunks)
             if ir["result"]["mode"] == "TOP_K":
-                tids = ops.exclude_reference(self.matching(ir, path), ir["similarity"]["reference_tid"])
-                ops.check_cells(ops.batch_get_trajectory(tids, self.snapshot.trajectories), self.snapshot.trajectories, ir, self.limits.max_cells)
-            return Result("OK", self.query(ir, path, pruned=pruned))
+                s = ir["similarity"]
+                reference = ops.reference_points(self.snapshot.trajectories, s["reference_tid"])
+                ops.check_cells(self.candidates(ir, path, plan), reference, s["metric"], self.limits.max_cells, self.limits.max_candidate_bytes)
+            frame = self.query(ir, path, plan, pruned)
+            if timer:
+                frame.count()
+            if late.is_set():
+                raise ops.ResourceExhausted(self._late())
+            return Result("OK", frame)
         except ops.ResourceExhausted as e:
             return Result("RESOURCE_EXHAUSTED", error=str(e))
         except (ops.DataIntegrityError, SnapshotError) as e:
@@ -110,7 +159,14 @@ class Engine:
         except planner.NoSafePlan as e:
             return Result("NO_SAFE_PLAN", error=str(e))
         except Exception as e:  # the contract: no partial answers, whatever went wrong
-            return Result("FAILED", error=str(e))
+            return Result("RESOURCE_EXHAUSTED", error=self._late()) if late.is_set() else Result("FAILED", error=str(e))
+        finally:
+            if timer:
+                timer.cancel()
+                self.spark.removeTag(tag)
+
+    def _late(self) -> str:
+        return f"not done within {self.limits.deadline_s} s"
 
     def query_draft(self, draft: dict, **options) -> tuple[_ir.Bound, DataFrame | None]:
         bound = self.binder().bind(draft)
@@ -127,12 +183,12 @@ class Engine:
         """The candidate plans with their costs, the chosen one, and Spark's physical plan."""
         _ir.validate_bound(ir)
         costed = planner.costed(self, ir)
-        lines = [f"{p.plan_id}: {cost:.0f} chunks" for cost, p in costed]
+        lines = [f"{p.plan_id if p else 'FLAT'}: {cost:.0f}" for cost, p in costed]
         df = self.query(ir, path)
         physical = df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-        return "\n".join(["candidates:", *lines, f"chosen: {costed[0][1].plan_id}", physical])
+        return "\n".join(["candidates:", *lines, f"chosen: {costed[0][1].plan_id if costed[0][1] else 'FLAT'}", physical])
 
     def artifacts(self, ir: dict, path: str) -> None:
         """Write the query, its candidates and its plan beside each other as text."""
-        body = {"ir": ir, "candidates": [{"plan_id": p.plan_id, "cost": c} for c, p in planner.costed(self, ir)], "explain": self.explain(ir)}
+        body = {"ir": ir, "candidates": [{"plan_id": p.plan_id if p else "FLAT", "cost": c} for c, p in planner.costed(self, ir)], "explain": self.explain(ir)}
         self.spark.createDataFrame([(json.dumps(body, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -164,6 +164,17 @@ REGIONS: dict[str, tuple[float, float, float, float]] = {
     "porto_core": (-8.65, 41.14, -8.58, 41.18),
     "porto_ribeira": (-8.625, 41.138, -8.608, 41.145),
     "porto_boa_vista": (-8.635, 41.155, -8.615, 41.170),
+    "porto_campanha": (-8.595, 41.145, -8.575, 41.160),
+    "porto_airport": (-8.691, 41.227, -8.651, 41.257),
+    "baixa": (-8.6225, 41.1435, -8.6065, 41.1555),
+    "campanha": (-8.596, 41.1415, -8.576, 41.1565),
+    "cedofeita": (-8.63, 41.151, -8.614, 41.163),
+    "aliados": (-8.617, 41.1445, -8.605, 41.1535),
+    "ribeira": (-8.621, 41.136, -8.609, 41.145),
+    "matosinhos": (-8.702, 41.173, -8.678, 41.191),
+    "boavista": (-8.638, 41.152, -8.622, 41.164),
+    "trindade": (-8.615, 41.14825, -8.605, 41.15575),
+    "foz": (-8.687, 41.1445, -8.667, 41.1595),
 }
 
 
@@ -206,11 +217,11 @@ class Binder:
     def bind(self, draft: dict) -> Bound:
         mode = (draft.get("result") or {}).get("mode") if isinstance(draft, dict) else None
         if not isinstance(draft, dict) or not (draft.get("source") or {}).get("dataset_id"):
-            return Bound(BIND_ERROR, error="source.dataset_id is required")
+            return Bound(BIND_ERROR, error="the draft names no data set")
         if not mode:
-            return Bound(BIND_ERROR, error="result.mode is required")
+            return Bound(BIND_ERROR, error="the draft does not say what kind of result it wants")
         if mode not in ("TRAJECTORY_IDS", "TOP_K"):
-            return Bound(UNSUPPORTED, error=f"result.mode {mode} is not supported")
+            return Bound(UNSUPPORTED, error=f"a result of kind {mode} can't be given")
         try:
             DRAFT(draft, "")
             return self._bind(draft, mode)
@@ -224,12 +235,12 @@ class Binder:
         if name:
             region = self.regions.get(name.lower())
             if region is None:
-                return Bound(NEED_CLARIFICATION, error=f"unknown region_name {name}", clarify="spatial")
+                return Bound(NEED_CLARIFICATION, error=f"no region is called {name}", clarify="spatial")
             rect = region.box if region.local else projection.envelope(*region.box, self.crs)
         elif geometry := area.get("geometry"):
             rect = projection.envelope(geometry["min_lon"], geometry["min_lat"], geometry["max_lon"], geometry["max_lat"], self.crs)
         else:
-            return Bound(NEED_CLARIFICATION, error="an area needs a region_name or a rectangle", clarify="spatial")
+            return Bound(NEED_CLARIFICATION, error="where? a region or a rectangle is wanted", clarify="spatial")
         return dict(zip(("min_x", "min_y", "max_x", "max_y"), rect)) | {"relation": "INTERSECTS", "boundary": "INCLUDED"} | ({"region_name": name} if name else {})
 
     def _bind(self, draft: dict, mode: str) -> Bound:
@@ -237,7 +248,7 @@ class Binder:
         if when := draft.get("temporal"):
             start, end = (instants.parse_instant(when[k], self.now_ms) for k in ("start", "end"))
             if start >= end:
-                return Bound(BIND_ERROR, error="temporal start must be before end")
+                return Bound(BIND_ERROR, error="the window is empty: it begins at its end or later")
             ir["temporal"] = {"start_ms": start, "end_ms": end}
         areas = draft.get("spatial_parts") or ([draft["spatial"]] if draft.get("spatial") else [])
         rects = [self._box(a) for a in areas]
@@ -251,25 +262,25 @@ class Binder:
         ir["result"] = {"mode": mode, "tie_breaker": "TID_ASC"}
         similar = draft.get("similarity")
         if mode == "TRAJECTORY_IDS" and similar:
-            return Bound(BIND_ERROR, error="TRAJECTORY_IDS must not have similarity")
+            return Bound(BIND_ERROR, error="similarity goes with TOP_K only")
         if mode == "TOP_K":
             if not similar:
-                return Bound(BIND_ERROR, error="TOP_K requires similarity")
+                return Bound(BIND_ERROR, error="similar to what? TOP_K compares with a reference")
             metric = (similar.get("metric") or "").strip()
             if metric not in METRICS:
-                return Bound(UNSUPPORTED, error=f"unsupported metric {metric}; supported: {', '.join(METRICS)}")
+                return Bound(UNSUPPORTED, error=f"no metric is called {metric!r}; there are {', '.join(METRICS)}")
             found = self.lookup(similar["reference_trajectory_id"])
             if found is None:
-                return Bound(BIND_ERROR, error=f"reference trajectory not found: {similar['reference_trajectory_id']}")
+                return Bound(BIND_ERROR, error=f"the data set has no trajectory {similar['reference_trajectory_id']} to compare with")
             exclude = similar.get("exclude_reference")
             ir["similarity"] = {
                 "metric": metric, "reference_tid": found[0], "scope": "FULL_TRAJECTORY", "exclude_reference": True if exclude is None else exclude,
                 "local_distance": "EUCLIDEAN", "normalization": "NONE", "reference_chunk_count": found[1],
             }
             if not draft["result"].get("k"):
-                return Bound(BIND_ERROR, error="TOP_K requires k of 1 or more")
+                return Bound(BIND_ERROR, error="how many? k is 1 or more")
             ir["result"]["k"] = draft["result"]["k"]
         if not (windows(ir) or boxes(ir) or vehicles(ir)):
-            return Bound(BIND_ERROR, error="an unconstrained query is refused")
+            return Bound(BIND_ERROR, error="without a time, place or vehicle the answer would be everything")
         ir["snapshot"] = {"manifest_id": self.manifest_id, "semantics_version": VERSION}
         return Bound(OK, ir=validate_bound(ir))

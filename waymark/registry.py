@@ -276,11 +276,23 @@ for _path in ("chunks", "indexed"):
         return engine(spark, d).query(bound(**EXACT["exact_st"]), path=path)
 
 
+# Every plan, on a query with many answers: those without the vehicle's lookup on time and space, those
+# with it on a wide window and box.
+WIDE = {"temporal": [(START, START + 45 * DAY)], "spatial": [Rect(5.0, 5.0, 500.0, 95.0)], "vehicle": VEHICLE}
+
 for _plan in planner.candidates(bound(**EXACT["exact_st_vehicle"])):
+    _parts = WIDE if _plan.vehicle else EXACT["exact_st"]
+
+    @register(f"plan_{_plan.plan_id[2:].lower()}", sql_ids(**_parts))
+    def _(spark, d, plan=_plan, parts=_parts):
+        return engine(spark, d).query(bound(**parts), path="indexed", plan=plan)
+
+
+for _plan in planner.split_plans():
 
-    @register(f"plan_{_plan.plan_id[2:].lower()}", sql_ids(**EXACT["exact_st_vehicle"]))
+    @register(f"plan_{_plan.plan_id[2:].lower()}", sql_ids(**EXACT["exact_st"]))
     def _(spark, d, plan=_plan):
-        return engine(spark, d).query(bound(**EXACT["exact_st_vehicle"]), path="indexed", plan=plan)
+        return engine(spark, d).query(bound(**EXACT["exact_st"]), path="indexed", plan=plan)
 
 
 @register("exclude_reference", f"SELECT DISTINCT tid FROM points WHERE {sql_where(**EXACT['exact_time'])} AND trajectory_id <> '{REFERENCE}'")
@@ -336,7 +348,7 @@ for _metric in distance.METRICS:
         s = similar_to(e, metric)
         tids = plan_ops.exclude_reference(e.matching(bound(**TOPK_WHERE)), s["reference_tid"])
         candidates = plan_ops.batch_get_trajectory(tids, e.snapshot.trajectories)
-        return rounded(plan_ops.similarity(plan_ops.with_reference(candidates, e.snapshot.trajectories, s["reference_tid"]), metric))
+        return rounded(plan_ops.similarity(candidates, metric, plan_ops.reference_points(e.snapshot.trajectories, s["reference_tid"])))
 
     _top = sql_scored(_metric, sql_where(**TOPK_WHERE)) + f"SELECT tid, trajectory_id, round(distance, 6) AS distance FROM scored ORDER BY scored.distance, tid LIMIT {K}"
 

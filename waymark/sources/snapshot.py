@@ -1,9 +1,12 @@
 """Snapshots: the stored form of a data set, built once and then read by every query.
 
 Tables (Parquet) under one path: ``points`` (flat, the exact filters' scan), ``chunks`` (extents and
-nested points), ``trajectories`` (whole point arrays), ``meta``, one posting table per kind, ``stats_*``,
-and ``manifest``.  The manifest says READY only after the postings are verified in both directions, and
-is written last; a snapshot without it is not opened.
+nested points), both in the order of time bucket and grid cell, so that files and row groups have
+narrow ranges of time and place and scans skip those off the query; ``trajectories`` (whole point
+arrays) and ``meta`` in the order of tid; ``rejects``; one posting table per kind, ``stats_*``, and
+``manifest``.  A posting table enters the manifest only after it is verified in both directions; a
+rebuilt one is a new folder, and the manifest's next version names it.  The manifest is appended to,
+one line a version, and a snapshot without a READY one is not opened.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ from pyspark.sql import functions as F
 from waymark.functions import codes
 from waymark.operators import ingest, postings
 from waymark.operators.postings import Layout
-from waymark.storage import new_path, read_json, write_json
+from waymark.storage import append_json, delete, new_path, read_json_lines
 
 TABLES = ("points", "chunks", "trajectories", "meta")
 VERSION = "1.0"
+DAY_MS = 86_400_000
 
 
 class SnapshotError(RuntimeError):
@@ -43,17 +47,39 @@ class Snapshot:
             return self.table(name)
         raise AttributeError(name)
 
+    @property
+    def size(self) -> tuple[int, int]:
+        """Chunks and points."""
+        if "n_chunks" not in self.manifest:
+            self.manifest |= {"n_chunks": self.chunks.count(), "n_points": self.points.count()}
+        return self.manifest["n_chunks"], self.manifest["n_points"]
+
     def postings(self, kind: str) -> DataFrame:
-        """The posting table; one that was not built with the snapshot is written at its first use."""
-        if kind not in self.manifest["stored_kinds"]:
-            postings.build(kind, self.chunks, self.layout).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/idx_{kind}")
-            self.manifest["stored_kinds"].append(kind)
-        return self.table(f"idx_{kind}")
+        """The posting table; one that was not built with the snapshot is built and verified at its first use."""
+        if kind not in self.manifest["indexes"]:
+            store_postings(self, kind)
+        return self.table(self.manifest["indexes"][kind])
+
+
+def store_postings(snapshot: Snapshot, kind: str, verify: bool = True) -> None:
+    """Write a posting table to a new folder, verify it, and publish it by the manifest's next version."""
+    name = f"idx_{kind}_{snapshot.manifest['version'] + 1}"
+    path = f"{snapshot.path}/{name}"
+    postings.build(kind, snapshot.chunks, snapshot.layout).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    if verify and postings.verify(kind, snapshot.spark.read.parquet(path), snapshot.chunks, snapshot.layout).limit(1).count():
+        raise SnapshotError(f"postings of kind {kind} don't agree with the chunks")
+    publish(snapshot, snapshot.manifest | {"indexes": snapshot.manifest["indexes"] | {kind: name}})
+
+
+def publish(snapshot: Snapshot, manifest: dict) -> None:
+    """Append the manifest's next version; readers take the greatest."""
+    snapshot.manifest = manifest | {"version": manifest["version"] + 1}
+    append_json(snapshot.spark, f"{snapshot.path}/manifest", snapshot.manifest)
 
 
 def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
     try:
-        manifest = read_json(spark, f"{path}/manifest")
+        manifest = max(read_json_lines(spark, f"{path}/manifest"), key=lambda m: m["version"])
     except Exception as e:
         raise SnapshotError(f"no snapshot at {path}") from e
     if manifest.get("status") != "READY":
@@ -71,32 +97,54 @@ def layout_of(points: DataFrame, chunk_max_points: int, bucket_ms: int, margin:
     return Layout(domain, epoch, (epoch, row[5] + 30 * 86_400_000), bucket_ms, chunk_max_points)
 
 
+def clustered(df: DataFrame, layout: Layout, t: str, x: str, y: str, *last: str) -> DataFrame:
+    """Rows in the order of day, grid cell and time, dealt to files by it."""
+    d, level = layout.domain, min(layout.zorder_level, 8)
+    cell = codes.interleave(codes.quantize(F.col(x), d.min_x, d.max_x, level), codes.quantize(F.col(y), d.min_y, d.max_y, level), level)
+    placed = df.withColumns({"__day": F.floor(F.col(t) / DAY_MS), "__cell": cell})
+    order = ["__day", "__cell", t, *last]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__day", "__cell")
+
+
 def build_snapshot(
     spark: SparkSession, raw: DataFrame, path: str | None = None, dataset_id: str = "dataset", chunk_max_points: int = 256, bucket_ms: int = 600_000, margin: float = 1000.0,
-    domain: codes.Domain | None = None, kinds: tuple[str, ...] = postings.KINDS, verify: bool = True, layout: Layout | None = None,
+    domain: codes.Domain | None = None, kinds: tuple[str, ...] = postings.KINDS, verify: bool = True, layout: Layout | None = None, rejects: DataFrame | None = None,
 ) -> Snapshot:
-    """Clean, number, chunk, index, verify and publish raw points (see ``operators.ingest``)."""
+    """Clean, number, chunk, index, verify and publish raw points (see ``operators.ingest``).
+
+    ``rejects`` (trajectory_id, reason) are those of parsing; they are stored with those of cleaning.
+    """
     path = path or new_path(spark, f"snapshot-{dataset_id}")
     write = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    cleaned = ingest.clean(raw, domain)
-    # Rows of a trajectory lie together and in order, so row groups have narrow ranges of tid and time.
+    # Cleaning sorts every point: it is done once, and written out.
+    scratch = new_path(spark, "cleaned")
+    ingest.judged(raw, domain).write.option("compression", "zstd").parquet(scratch)
+    cleaned = ingest.sorted_out(spark.read.parquet(scratch))
     numbered = ingest.assign_tids(cleaned.points)
-    write(numbered.repartitionByRange("tid").sortWithinPartitions("tid", "seq"), "points")
+    layout = layout or layout_of(cleaned.points, chunk_max_points, bucket_ms, margin, domain)
+    write(clustered(numbered, layout, "t_ms", "x_m", "y_m", "tid", "seq"), "points")
     points = read("points")
-    layout = layout or layout_of(points, chunk_max_points, bucket_ms, margin, domain)
-    write(ingest.chunk(points, layout.chunk_max_points), "chunks")
+    chunks = ingest.chunk(points, layout.chunk_max_points)
+    write(clustered(chunks, layout, "t_min", "min_x", "min_y", "tid", "chunk_id"), "chunks")
     chunks = read("chunks")
-    write(ingest.concatenate(chunks), "trajectories")
-    write(ingest.trajectory_meta(points, layout.chunk_max_points), "meta")
-    write(cleaned.rejects, "rejects")
+    write(ingest.concatenate(chunks).repartitionByRange("tid").sortWithinPartitions("tid"), "trajectories")
+    write(ingest.trajectory_meta(points, layout.chunk_max_points).repartitionByRange("tid").sortWithinPartitions("tid"), "meta")
+    write(cleaned.rejects if rejects is None else cleaned.rejects.unionByName(rejects.select("trajectory_id", "reason")), "rejects")
+    delete(spark, scratch)
+    manifest = {
+        "manifest_id": f"{dataset_id}_ready", "status": "READY", "dataset_id": dataset_id, "layout": layout.to_json(), "semantics_version": VERSION, "kinds": list(postings.KINDS), "indexes": {}, "version": 0,
+        "n_chunks": chunks.count(), "n_points": points.count(), "n_rejects": read("rejects").count(),
+    }
+    made = Snapshot(spark, path, manifest)
+    indexes = {}
     for kind in kinds:
-        write(postings.build(kind, chunks, layout), f"idx_{kind}")
-        if verify and postings.verify(kind, read(f"idx_{kind}"), chunks, layout).limit(1).count():
+        indexes[kind] = f"idx_{kind}_1"
+        write(postings.build(kind, chunks, layout), indexes[kind])
+        if verify and postings.verify(kind, read(indexes[kind]), chunks, layout).limit(1).count():
             raise SnapshotError(f"postings of kind {kind} don't agree with the chunks")
-    manifest = {"manifest_id": f"{dataset_id}_ready", "status": "READY", "dataset_id": dataset_id, "layout": layout.to_json(), "semantics_version": VERSION, "kinds": list(postings.KINDS), "stored_kinds": list(kinds)}
-    write_json(spark, f"{path}/manifest", manifest)
-    return Snapshot(spark, path, manifest)
+    publish(made, manifest | {"indexes": indexes})
+    return made
 
 
 def write_stats(snapshot: Snapshot) -> None:
@@ -111,9 +159,5 @@ def write_stats(snapshot: Snapshot) -> None:
 
 
 def rebuild_postings(snapshot: Snapshot, kind: str) -> None:
-    """Rewrite one posting table (a new path first, then the manifest points to what is verified)."""
-    fresh = postings.build(kind, snapshot.chunks, snapshot.layout)
-    fresh.write.mode("overwrite").parquet(f"{snapshot.path}/idx_{kind}")
-    snapshot._tables.pop(f"idx_{kind}", None)
-    if postings.verify(kind, snapshot.postings(kind), snapshot.chunks, snapshot.layout).limit(1).count():
-        raise SnapshotError(f"postings of kind {kind} don't agree with the chunks")
+    """Write one posting table anew; the snapshot keeps the old one until the new one is verified."""
+    store_postings(snapshot, kind)
