@@ -115,10 +115,34 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("pass_bytes", "block_bytes"), [(1 << 20, 3 << 20), (700, 9_000)])
-def test_repeats_against_brute_force(spark, monkeypatch, pass_bytes, block_bytes):
-    monkeypatch.setattr(repeats, "PASS_BYTES", pass_bytes)
-    monkeypatch.setattr(repeats, "BLOCK_BYTES", block_bytes)
+def test_order_of_strings_is_that_of_the_corpus():
+    rng = random.Random(9)
+    for alphabet in ("ab", "abcdefgh \0", "a"):
+        base = "".join(rng.choice(alphabet) for _ in range(600)).encode()
+        stretches = []
+        for _ in range(60):
+            k = rng.randint(0, 500)
+            own = base[k : k + rng.randint(50, 177)]
+            if rng.random() < 0.3:
+                own = own[:20] + b"XY" + own[20:]
+            if len(own) >= 50:
+                stretches.append(own[:177])
+        text, length = b"".join(stretches), np.array([len(x) for x in stretches])
+        start = np.cumsum(length) - length
+        at = np.concatenate([np.arange(s, s + n - 49) for s, n in zip(start, length)])
+        word = repeats.eights(np.frombuffer(text + bytes(8), np.uint8))
+        order, key = repeats.corpus_order(text, word, length, at)
+        strings = [text[i : i + 50] for i in at[order].tolist()]
+        assert strings == sorted(strings)
+        same = np.diff(key[order]) == 0
+        assert all(x == y for x, y, z in zip(strings, strings[1:], same) if z)
+        assert alphabet != "ab" or same.sum() > 50
+
+
+@pytest.mark.parametrize(("pass_bytes", "block_bytes", "hot"), [(1 << 20, 3 << 20, 8192), (700, 9_000, 8192), (700, 4_000, 4), (1 << 20, 3 << 20, 1)])
+def test_repeats_against_brute_force(spark, monkeypatch, pass_bytes, block_bytes, hot):
+    for name, value in (("PASS_BYTES", pass_bytes), ("BLOCK_BYTES", block_bytes), ("HOT_RUNS", hot), ("BUCKET_BYTES", block_bytes // 2)):
+        monkeypatch.setattr(repeats, name, value)
     rng = random.Random(3)
     base = "".join(rng.choice("abc é") for _ in range(2500))
     rows = [(i % 50, "".join(rng.choice(["xy", "z", base[k : k + rng.randint(20, 250)]]) for k in [rng.randint(0, 2400) for _ in range(9)])) for i in range(90)]
@@ -129,9 +153,9 @@ def test_repeats_against_brute_force(spark, monkeypatch, pass_bytes, block_bytes
 
 def test_repeats_keep_other_columns(spark):
     rows = [(1, "x" * 10 + "common passage of more than fifty bytes, to be found again", 7, "n"), (2, "common passage of more than fifty bytes, to be found again" + "é tail", 8, None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_bytes int, block string")
+    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id bigint, text string, n_bytes int, block string, __block string")
     got = sorted(repeats.remove_repeats(docs).collect(), key=lambda r: r.doc_id)
-    assert got[0].text == rows[0][1] and got[1].text == "é tail" and got[1].n_bytes == len(rows[1][1].encode()) and got[0].block == "n"
+    assert got[0].text == rows[0][1] and got[1].text == "é tail" and got[1].n_bytes == len(rows[1][1].encode()) and got[0].block == "n" and got[0]["__block"] == "kept"
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 

@@ -3,24 +3,38 @@
 Definition: a byte of a document goes if it lies in a string of ``LENGTH`` (50) bytes that also starts
 in a document with a smaller doc_id.  Strings are judged on the input; matches never cross documents.
 
-Method.  A rolling hash over ``GRAM`` bytes triggers phrase starts; a phrase runs to 49 bytes past the
-next trigger, so every 50-byte string lies inside a phrase and equal strings lie in equally cut
-stretches.  The parse says for each phrase in which document it occurs first.  Where a phrase occurs
-again in a later document, all its strings go without being looked at.  What is left are the
-dictionary phrases (first occurrences), and only strings that two of them may share are sorted: the
-dictionary's suffixes in the order of their first 50 bytes, ties in document order by the parse.
-
-Distribution.  Suffixes are dealt by their minimiser, the least rolling hash among their 31 grams, so
-equal strings meet in one task and neighbouring ones travel as one stretch of text.  A first exchange
-carries only 5 bytes per minimiser and finds the ones that occur more than once; a minimiser that
-occurs in one document alone sends nothing further.  Blocks of documents summarise themselves before
-each exchange, so a passage in a third of all documents costs a row per block, not per document.
-The text is exchanged once, by block, and this exchange serves all three passes.
+Method, on two levels.
+* Documents.  A rolling hash over ``GRAM`` bytes triggers phrases, cut so that each 50-byte string lies
+  inside one.  Where a phrase is known from an earlier document, all its strings go without being looked
+  at; the parse says in which document each phrase occurs first.
+* Strings of the phrases that are left.  Those that two documents may share meet in a task, as
+  stretches of text.  There the stretches are parsed again, by triggers of ``WINDOW`` bytes, into a
+  dictionary of distinct phrases, prefix-free since each ends with its only trigger, and a parse.  The
+  suffixes of the dictionary and the suffixes of the parse are sorted, and both orders combine into the
+  order of all strings of the task: by the dictionary suffix first, and by the parse suffix that follows
+  it where it has less than 50 bytes.  Equal strings are neighbours in this order; they are compared
+  byte by byte wherever the orders don't say so already.
+
+Distribution.  Strings are dealt by their minimiser, the least rolling hash among their 31 grams, so
+equal strings meet in one task and neighbouring ones travel as one stretch.  A first exchange carries
+only 5 bytes per minimiser and finds the ones that occur more than once; a minimiser that occurs in one
+document alone sends nothing further.  Strings of a minimiser that occurs very often (``HOT_RUNS``)
+are dealt one by one, by a hash of all their bytes, since one task can't hold them.  Blocks of documents
+summarise themselves before each exchange, so a passage in a third of all documents costs a row per
+block, not per document.  The text is exchanged once, by block, and this exchange serves all three
+passes.  Blocks and tasks have bounded bytes, whatever the session's setting; the rows between them
+grow with blocks times tasks, so for very large inputs ``BLOCK_BYTES`` and ``BUCKET_BYTES`` are raised
+with the executors' memory.
+
+Defined cases: a null text counts as empty (and comes back empty); a null doc_id is smaller than any
+other; rows with one doc_id, equal rows included, don't touch each other; long texts are blocks of
+their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -38,13 +52,21 @@ PHRASE = 256
 #: UTF-8 bytes of a block of documents (more if one document is longer), and of one pass of arrays.
 BLOCK_BYTES = 2 << 20
 PASS_BYTES = 1 << 20
+#: UTF-8 bytes of text for each task that sorts strings.
+BUCKET_BYTES = 4 << 20
+#: Occurrences (runs of strings, estimated by powers of two) from which a minimiser's strings are dealt one by one.
+HOT_RUNS = 8192
+#: Bytes of a trigger in the second parse, and one trigger in so many places.
+WINDOW, PIECE = 8, 16
 #: Most strings in one stretch of text; its length then fits a byte.
 STRETCH = 128
 NULL_DOC = -(1 << 63)
 
 BASE = 0x9E3779B97F4A7C15
 WRAP = (1 << 64) - 1
-SIGN_BITS = 39
+#: A minimiser's signature: so many bits, one for "in two documents of the block", four for the power of
+#: two of its runs.
+SIGN_BITS = 35
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -77,7 +99,7 @@ class Block(NamedTuple):
     start: np.ndarray
     end: np.ndarray
     phrase_at: np.ndarray
-    phrase_hash: np.ndarray  # 0 for phrases without a whole string
+    phrase_hash: np.ndarray  # n x 2: 128 bits; zeros for phrases without a whole string
     phrase_doc: np.ndarray
     run_at: np.ndarray
     run_n: np.ndarray
@@ -133,8 +155,8 @@ def parse_block(doc_id: pa.ChunkedArray, text: pa.ChunkedArray) -> Block:
     stop = end[phrase_doc] if len(phrase_at) else empty
     if len(phrase_at) > 1:
         stop[:-1] = np.minimum(stop[:-1], phrase_at[1:] + LENGTH - 1)
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.array([digest(data[a:z]) if z - a >= LENGTH else 0 for a, z in zip(phrase_at.tolist(), stop.tolist())], dtype=np.uint64)
+    digest = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join([digest(data[a:z]) if z - a >= LENGTH else bytes(16) for a, z in zip(phrase_at.tolist(), stop.tolist())]), "<u8").reshape(-1, 2)
     return Block(
         order, doc, data, start, end, phrase_at, hashes, phrase_doc,
         at, np.concatenate(run_n or [empty]).astype(np.int64), np.searchsorted(start, at, "right") - 1, np.searchsorted(phrase_at, at, "right") - 1, np.concatenate(run_key or [empty]).astype(np.uint64),
@@ -146,15 +168,26 @@ class Summary(NamedTuple):
 
     keys: np.ndarray
     many: np.ndarray  # the minimiser occurs in two documents of the block
+    runs: np.ndarray  # the power of two of its runs
     of_run: np.ndarray
     bucket: np.ndarray
-    phrases: np.ndarray
+    phrases: np.ndarray  # n x 2
     phrase_least: np.ndarray
     of_phrase: np.ndarray
 
 
+def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of an n x 2 array in order, and the place of each row among them."""
+    by = np.lexsort((x[:, 1], x[:, 0]))
+    new = np.ones(len(x), bool)
+    new[1:] = (x[by[1:]] != x[by[:-1]]).any(1)
+    place = np.empty(len(x), np.int64)
+    place[by] = np.cumsum(new) - 1
+    return x[by[new]], place
+
+
 def summarise(b: Block, buckets: int) -> Summary:
-    keys, of_run = np.unique(b.run_key, return_inverse=True)
+    keys, of_run, times = np.unique(b.run_key, return_inverse=True, return_counts=True)
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     by = np.lexsort((keys, bucket))
     place = np.empty(len(by), np.int64)
@@ -164,10 +197,11 @@ def summarise(b: Block, buckets: int) -> Summary:
     docs = b.doc[b.run_doc] if len(b.run_doc) else np.empty(0, np.int64)
     np.minimum.at(least, of_run, docs)
     np.maximum.at(most, of_run, docs)
-    phrases, of_phrase = np.unique(b.phrase_hash, return_inverse=True)
+    phrases, of_phrase = distinct_rows(b.phrase_hash)
     phrase_least = np.full(len(phrases), np.iinfo(np.int64).max)
     np.minimum.at(phrase_least, of_phrase, b.doc[b.phrase_doc] if len(b.phrase_doc) else np.empty(0, np.int64))
-    return Summary(keys[by], least < most, of_run, bucket[by], phrases, phrase_least, of_phrase)
+    runs = np.minimum(np.log2(np.maximum(times[by], 1)).astype(np.int64), 15)
+    return Summary(keys[by], least < most, runs, of_run, bucket[by], phrases, phrase_least, of_phrase)
 
 
 def five_bytes(x: np.ndarray) -> bytes:
@@ -181,58 +215,71 @@ def from_five(b: bytes) -> np.ndarray:
 
 
 SAID = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("minimisers", pa.binary()), ("phrases", pa.binary())])
-NOTE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("shared", pa.binary()), ("earlier", pa.binary()), ("found", pa.binary())])
+NOTE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary()), ("earlier", pa.binary()), ("found", pa.binary())])
 SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("stretches", pa.binary())])
-DDL = {"said": "block bigint, bucket int, minimisers binary, phrases binary", "note": "block bigint, bucket int, shared binary, earlier binary, found binary", "sent": "block bigint, bucket int, stretches binary"}
+DDL = {"said": "block bigint, bucket int, minimisers binary, phrases binary", "note": "block bigint, bucket int, shared binary, hot binary, earlier binary, found binary", "sent": "block bigint, bucket int, stretches binary"}
+
+
+def packed_phrases(phrases: np.ndarray, least: np.ndarray) -> bytes:
+    return np.ascontiguousarray(phrases.astype("<u8")).tobytes() + least.astype("<i8").tobytes()
+
+
+def unpacked_phrases(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(b) // 24
+    return np.frombuffer(b, "<u8", 2 * n).reshape(n, 2), np.frombuffer(b, "<i8", n, 16 * n)
 
 
 def say(b: Block, block: int, buckets: int) -> pa.Table:
     """First pass: the block's minimisers and phrases, one row per task they go to."""
     s = summarise(b, buckets)
-    sign = ((s.keys // np.uint64(buckets)) & np.uint64((1 << SIGN_BITS) - 1)) | (s.many.astype(np.uint64) << np.uint64(SIGN_BITS))
+    low = np.uint64((1 << SIGN_BITS) - 1)
+    sign = ((s.keys // np.uint64(buckets)) & low) | (s.many.astype(np.uint64) << np.uint64(SIGN_BITS)) | (s.runs.astype(np.uint64) << np.uint64(SIGN_BITS + 1))
     cuts = np.searchsorted(s.bucket, np.arange(buckets + 1))
-    real = s.phrases != 0
+    real = s.phrases.any(1)
     ph, least = s.phrases[real], s.phrase_least[real]
-    to = (ph % np.uint64(buckets)).astype(np.int64)
+    to = (ph[:, 0] % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(to, kind="stable")
     ph, least, pcuts = ph[by], least[by], np.searchsorted(to[by], np.arange(buckets + 1))
-    rows = [(block, k, five_bytes(sign[cuts[k] : cuts[k + 1]]), ph[pcuts[k] : pcuts[k + 1]].astype("<u8").tobytes() + least[pcuts[k] : pcuts[k + 1]].astype("<i8").tobytes()) for k in np.unique(np.concatenate([s.bucket, to])).tolist()]
+    rows = [(block, k, five_bytes(sign[cuts[k] : cuts[k + 1]]), packed_phrases(ph[pcuts[k] : pcuts[k + 1]], least[pcuts[k] : pcuts[k + 1]])) for k in np.unique(np.concatenate([s.bucket, to])).tolist()]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 4, SAID)], schema=SAID)
 
 
 def answer(said: pa.Table) -> pa.Table:
-    """For each block of one task: which minimisers other blocks have too, and phrases known earlier."""
+    """For each block of one task: which minimisers other blocks have too, which are hot, and phrases known earlier."""
     blocks, bucket = said.column("block").to_pylist(), said.column("bucket")[0].as_py()
     signs = [from_five(x) for x in said.column("minimisers").to_pylist()]
     sizes = np.array([len(x) for x in signs])
-    sign = np.concatenate(signs) & np.uint64((1 << SIGN_BITS) - 1)
-    _, inverse, count = np.unique(sign, return_inverse=True, return_counts=True)
+    sign = np.concatenate(signs)
+    runs = np.left_shift(1, (sign >> np.uint64(SIGN_BITS + 1)).astype(np.int64))
+    _, inverse, count = np.unique(sign & np.uint64((1 << SIGN_BITS) - 1), return_inverse=True, return_counts=True)
     shared = count[inverse] > 1
+    hot = (np.bincount(inverse, weights=runs, minlength=len(count)) >= HOT_RUNS)[inverse] if len(count) else shared
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    halves = [np.frombuffer(x, "<u8").reshape(2, -1) for x in said.column("phrases").to_pylist()]
-    phrase = np.concatenate([x[0] for x in halves])
-    least = np.concatenate([x[1].view("<i8") for x in halves])
-    _, of = np.unique(phrase, return_inverse=True)
-    first = np.full(of.max() + 1 if len(of) else 0, np.iinfo(np.int64).max)
+    halves = [unpacked_phrases(x) for x in said.column("phrases").to_pylist()]
+    phrase, least = np.concatenate([x[0] for x in halves]), np.concatenate([x[1] for x in halves])
+    names, of = distinct_rows(phrase)
+    first = np.full(len(names), np.iinfo(np.int64).max)
     np.minimum.at(first, of, least)
     news = first[of] < least
-    pcuts = np.concatenate([[0], np.cumsum([x.shape[1] for x in halves])]).astype(np.int64)
+    pcuts = np.concatenate([[0], np.cumsum([len(x[0]) for x in halves])]).astype(np.int64)
     rows = []
     for i, block in enumerate(blocks):
-        bits = shared[cuts[i] : cuts[i + 1]]
+        bits, warm = shared[cuts[i] : cuts[i + 1]], hot[cuts[i] : cuts[i + 1]]
         own = slice(pcuts[i], pcuts[i + 1])
         new = news[own]
-        if bits.any() or new.any():
-            rows.append((block, bucket, np.packbits(bits).tobytes(), phrase[own][new].astype("<u8").tobytes() + first[of][own][new].astype("<i8").tobytes(), None))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 5, NOTE)], schema=NOTE)
+        if bits.any() or warm.any() or new.any():
+            rows.append((block, bucket, np.packbits(bits).tobytes(), np.packbits(warm).tobytes(), packed_phrases(phrase[own][new], first[of][own][new]), None))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 6, NOTE)], schema=NOTE)
 
 
 class Judged(NamedTuple):
-    """A block with the answers applied: runs that go with their phrase, and runs still to be sorted."""
+    """A block with the answers applied: runs that go with their phrase, and strings still to be sorted."""
 
     gone: np.ndarray
-    open_runs: np.ndarray
-    stretch: np.ndarray  # of each open run: the number of its stretch in its task
+    at: np.ndarray  # of each open run (a single string, where its minimiser is hot): place, strings, document
+    n: np.ndarray
+    doc: np.ndarray
+    stretch: np.ndarray  # the number of its stretch in its task
     to: np.ndarray
     sent: dict[int, list[tuple[bytes, int, int]]]
 
@@ -240,37 +287,49 @@ class Judged(NamedTuple):
 def judge(b: Block, buckets: int, notes: pa.Table) -> Judged:
     s = summarise(b, buckets)
     shared, first = s.many.copy(), s.phrase_least.copy()
+    hot = (1 << s.runs) >= HOT_RUNS
     cuts = np.searchsorted(s.bucket, np.arange(buckets + 1))
-    for bucket, bits, earlier in zip(*(notes.column(c).to_pylist() for c in ("bucket", "shared", "earlier"))):
+    found = []
+    for bucket, bits, warm, earlier in zip(*(notes.column(c).to_pylist() for c in ("bucket", "shared", "hot", "earlier"))):
         if bits is None:
             continue
-        own = slice(cuts[bucket], cuts[bucket + 1])
-        shared[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[bucket + 1] - cuts[bucket]).astype(bool)
-        known = np.frombuffer(earlier, "<u8").reshape(2, -1)
-        first[np.searchsorted(s.phrases, known[0])] = known[1].view("<i8")
+        own, n = slice(cuts[bucket], cuts[bucket + 1]), cuts[bucket + 1] - cuts[bucket]
+        shared[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        hot[own] |= np.unpackbits(np.frombuffer(warm, np.uint8), count=n).astype(bool)
+        found.append(unpacked_phrases(earlier))
+    if found:
+        known, least = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        _, place = distinct_rows(np.concatenate([s.phrases, known]))  # every known phrase is one of the block's
+        first[place[len(s.phrases) :]] = least
     if not len(b.run_at):
         none = np.empty(0, np.int64)
-        return Judged(none.astype(bool), none, none, none, {})
+        return Judged(none.astype(bool), none, none, none, none, none, {})
     run_doc = b.doc[b.run_doc]
-    gone = (first[s.of_phrase[b.run_phrase]] < run_doc) & (b.phrase_hash[b.run_phrase] != 0)
-    open_runs = np.flatnonzero(shared[s.of_run] & ~gone)
-    to = s.bucket[s.of_run[open_runs]]
+    of = s.of_phrase[b.run_phrase]
+    gone = (first[of] < run_doc) & s.phrases[of].any(1)
+    open_ = shared[s.of_run] & ~gone
+    whole, single = np.flatnonzero(open_ & ~hot[s.of_run]), np.flatnonzero(open_ & hot[s.of_run])
+    times = b.run_n[single]
+    each = np.repeat(b.run_at[single], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    at, n = np.concatenate([b.run_at[whole], each]), np.concatenate([b.run_n[whole], np.ones(len(each), np.int64)])
+    doc = np.concatenate([run_doc[whole], np.repeat(run_doc[single], times)])
+    data, digest = b.data, xxhash.xxh3_64_intdigest
+    to = np.concatenate([s.bucket[s.of_run[whole]], np.array([digest(data[i : i + LENGTH]) % buckets for i in each.tolist()], dtype=np.int64)])
     sent: dict[int, list[tuple[bytes, int, int]]] = {}
     numbers: dict[bytes, int] = {}
-    stretch = np.empty(len(open_runs), np.int64)
-    data = b.data
-    for i, (at, n, bucket, doc) in enumerate(zip(b.run_at[open_runs].tolist(), b.run_n[open_runs].tolist(), to.tolist(), run_doc[open_runs].tolist())):
-        string = data[at : at + n + LENGTH - 1]
+    stretch = np.empty(len(at), np.int64)
+    for i, (a, k, bucket, d) in enumerate(zip(at.tolist(), n.tolist(), to.tolist(), doc.tolist())):
+        string = data[a : a + k + LENGTH - 1]
         own = sent.setdefault(bucket, [])
-        k = numbers.get(string)
-        if k is None:
-            numbers[string] = k = len(own)
-            own.append((string, doc, doc))
+        number = numbers.get(string)
+        if number is None:
+            numbers[string] = number = len(own)
+            own.append((string, d, d))
         else:
-            _, least, most = own[k]
-            own[k] = (string, min(least, doc), max(most, doc))
-        stretch[i] = k
-    return Judged(gone, open_runs, stretch, to, sent)
+            _, least, most = own[number]
+            own[number] = (string, min(least, d), max(most, d))
+        stretch[i] = number
+    return Judged(gone, at, n, doc, stretch, to, sent)
 
 
 def send(j: Judged, block: int) -> pa.Table:
@@ -286,8 +345,79 @@ def send(j: Judged, block: int) -> pa.Table:
 FOUND = np.dtype([("stretch", "<u4"), ("offset", "u1"), ("n", "u1"), ("first", "<i8")])
 
 
+def ranked(*keys: np.ndarray) -> np.ndarray:
+    """The rank of each row of the keys (the first key counts most); equal rows have one rank, from 1."""
+    by = np.lexsort(keys[::-1])
+    new = np.ones(len(by), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[by[1:]] != k[by[:-1]]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new)
+    return out
+
+
+def words_at(word: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The bytes from each place on, 50 of them, eight in a number; those beyond the room are zero."""
+    for k in (0, 8, 16, 24, 32, 40, 42):
+        w = word[np.minimum(at + k, len(word) - 1)]
+        if room is not None:
+            left = np.clip(room - k, 0, 8).astype(np.uint64)
+            w = np.where(left == 0, np.uint64(0), w & ~((np.uint64(1) << (np.uint64(64) - np.uint64(8) * left) % np.uint64(64)) - np.uint64(1)))
+        yield w
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number that sorts as they do."""
+    word = data.astype(np.uint64)
+    for step, shift in ((1, 8), (2, 16), (4, 32)):
+        word = (word[:-step] << np.uint64(shift)) | word[step:]
+    return word
+
+
+def corpus_order(text: bytes, word: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the strings at ``at`` in which equal ones are neighbours, and a key: equal keys say that two
+    are equal.  ``text`` is stretches one after the other, of ``length`` each; ``word`` is its ``eights``.
+    """
+    end = np.cumsum(length)
+    start = end - length
+    # The parse: a phrase runs from a trigger, or its stretch's start, to the end of the next trigger.
+    trigger = mix64(word[: end[-1] if len(end) else 0]) % np.uint64(PIECE) == 0
+    begin = np.unique(np.concatenate([start, np.flatnonzero(trigger)]))
+    of = np.searchsorted(start, begin, "right") - 1
+    begin = begin[(begin == start[of]) | (begin + WINDOW <= end[of])]
+    of = np.searchsorted(start, begin, "right") - 1
+    last = np.append(of[1:] != of[:-1], True)
+    stop = np.where(last, end[of], np.append(begin[1:], 0) + WINDOW)
+    # The dictionary: distinct phrases, one after the other.
+    names: dict[bytes, int] = {}
+    name = np.array([names.setdefault(text[a:z], len(names)) for a, z in zip(begin.tolist(), stop.tolist())], dtype=np.int64)
+    dictionary = np.frombuffer(b"".join(names) + bytes(WINDOW), np.uint8)
+    size = np.array([len(p) for p in names], dtype=np.int64)
+    place = np.cumsum(size) - size
+    # Its suffixes in order, to 50 bytes.
+    suffix = np.arange(int(size.sum()))
+    room = np.repeat(place + size, size) - suffix
+    rank = ranked(*words_at(eights(dictionary), suffix, room), np.minimum(room, LENGTH))
+    # The suffixes of the parse in order: by their first phrase, then by twice as many phrases each time.
+    follow = rank[place[name]]
+    for step in (1, 2, 4, 8, 16, 32):
+        after = np.zeros(len(follow), np.int64)
+        same = of[step:] == of[:-step]
+        after[:-step][same] = follow[step:][same]
+        follow = ranked(follow, after)
+    behind = np.zeros(len(follow), np.int64)
+    behind[:-1][~last[:-1]] = follow[1:][~last[:-1]]
+    # Both orders together.
+    phrase = np.searchsorted(begin, at, "right") - 1
+    offset = at - begin[phrase]
+    short = size[name[phrase]] - offset < LENGTH
+    key = rank[place[name[phrase]] + offset] * (len(follow) + 2) + np.where(short, behind[phrase], 0)
+    return np.argsort(key, kind="stable"), key
+
+
 def sort_suffixes(sent: pa.Table) -> pa.Table:
-    """Sort one task's suffixes by their 50 bytes; say which strings have an earlier document."""
+    """Put one task's strings in order; say which strings have an earlier document."""
     blocks, bucket = sent.column("block").to_pylist(), sent.column("bucket")[0].as_py()
     lengths, least, most, texts, counts = [], [], [], [], []
     for x in sent.column("stretches").to_pylist():
@@ -297,22 +427,20 @@ def sort_suffixes(sent: pa.Table) -> pa.Table:
         least.append(np.frombuffer(x, "<i8", n, 4 + n))
         most.append(np.frombuffer(x, "<i8", n, 4 + 9 * n))
         texts.append(x[4 + 17 * n :])
-    data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    text = b"".join(texts)
     length, low, high = np.concatenate(lengths).astype(np.int64), np.concatenate(least), np.concatenate(most)
-    word = data.astype(np.uint64)
-    for step, shift in ((1, 8), (2, 16), (4, 32)):
-        word = (word[:-step] << np.uint64(shift)) | word[step:]
+    word = eights(np.frombuffer(text + bytes(WINDOW), np.uint8))
     windows = length - (LENGTH - 1)
     of = np.repeat(np.arange(len(length)), windows)
     offset = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     at = np.repeat(np.cumsum(length) - length, windows) + offset
-    keys = [word[at + k] for k in (0, 8, 16, 24, 32, 40, 42)]
-    suffix = np.lexsort(keys[::-1])
+    suffix, key = corpus_order(text, word, length, at)
     new = np.zeros(len(suffix), bool)
     new[:1] = True
-    for k in keys:
-        k = k[suffix]
-        new[1:] |= k[1:] != k[:-1]
+    cut = np.flatnonzero(np.diff(key[suffix])) + 1
+    here, there = at[suffix[cut]], at[suffix[cut - 1]]
+    for a, b in zip(words_at(word, here), words_at(word, there)):
+        new[cut] |= a != b
     group = np.cumsum(new) - 1
     first = np.minimum.reduceat(low[of[suffix]], np.flatnonzero(new))[group]
     earliest = np.empty(len(suffix), np.int64)
@@ -329,8 +457,8 @@ def sort_suffixes(sent: pa.Table) -> pa.Table:
     out["stretch"], out["offset"], out["first"] = of[lead] - base[owner], offset[lead], earliest[lead]
     out["n"] = np.diff(np.append(np.flatnonzero(cut), len(at)))
     cuts = np.searchsorted(owner, np.arange(len(blocks) + 1))
-    rows = [(block, bucket, None, None, out[cuts[i] : cuts[i + 1]].tobytes()) for i, block in enumerate(blocks) if cuts[i + 1] > cuts[i]]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 5, NOTE)], schema=NOTE)
+    rows = [(block, bucket, None, None, None, out[cuts[i] : cuts[i + 1]].tobytes()) for i, block in enumerate(blocks) if cuts[i + 1] > cuts[i]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 6, NOTE)], schema=NOTE)
 
 
 def removed_bytes(b: Block, j: Judged, notes: pa.Table) -> np.ndarray:
@@ -354,19 +482,17 @@ def removed_bytes(b: Block, j: Judged, notes: pa.Table) -> np.ndarray:
         times = hi - lo
         k = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         hit = np.repeat(hits, times)
-        run = j.open_runs[here[k]]
-        later = hit["first"] < b.doc[b.run_doc[run]]
-        mark(b.run_at[run[later]] + hit["offset"][later], hit["n"][later].astype(np.int64))
+        run = here[k]
+        later = hit["first"] < j.doc[run]
+        mark(j.at[run[later]] + hit["offset"][later], hit["n"][later].astype(np.int64))
     return np.cumsum(step[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with text cut, and n_bytes, n_removed, n_spans, kept_sha256 added; one row per row.
 
-    A null text counts as empty (and comes back empty); a null doc_id is smaller than any other.  Rows
-    with one doc_id don't touch each other.  Columns with the names of the added ones are replaced,
-    others pass through.  If a cut parts a character, the text drops its remaining bytes; the checksum
-    is of all kept bytes.
+    Columns with the names of the added ones are replaced, others pass through.  If a cut parts a
+    character, the text drops its remaining bytes; the checksum is of all kept bytes.
     """
     spark = docs.sparkSession
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -374,8 +500,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark)
     blocks = max(1, -(-total // BLOCK_BYTES))
-    buckets = 2 * n
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("__block"), *names).repartition(n, "__block")
+    buckets = max(2 * n, -(-total // BUCKET_BYTES))
+    block = "__block"
+    while block in names:
+        block += "_"
+    keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias(block), *names).repartition(n, block)
     out_schema = docs.select(*names).schema
     for name, kind in zip(added, ("long", "long", "long", "string")):
         out_schema = out_schema.add(name, kind)
@@ -384,12 +513,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return parse_block(t.column("doc_id"), t.column("text"))
 
     def first(t: pa.Table) -> pa.Table:
-        return say(parse(t), t.column("__block")[0].as_py(), buckets)
+        return say(parse(t), t.column(block)[0].as_py(), buckets)
 
     def second(t: pa.Table, notes: pa.Table) -> pa.Table:
         if not t.num_rows:
             return SENT.empty_table()
-        return send(judge(parse(t), buckets, notes), t.column("__block")[0].as_py())
+        return send(judge(parse(t), buckets, notes), t.column(block)[0].as_py())
 
     def third(t: pa.Table, notes: pa.Table) -> pa.Table:
         b = parse(t)
@@ -406,10 +535,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         extra = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
         return pa.Table.from_arrays([*columns, *extra], names=[*names, *added])
 
-    notes = keyed.groupBy("__block").applyInArrow(first, DDL["said"]).groupBy("bucket").applyInArrow(answer, DDL["note"])
-    sent = keyed.groupBy("__block").cogroup(notes.groupBy("block")).applyInArrow(second, DDL["sent"])
+    notes = keyed.groupBy(block).applyInArrow(first, DDL["said"]).groupBy("bucket").applyInArrow(answer, DDL["note"])
+    sent = keyed.groupBy(block).cogroup(notes.groupBy("block")).applyInArrow(second, DDL["sent"])
     found = sent.groupBy("bucket").applyInArrow(sort_suffixes, DDL["note"])
-    return keyed.groupBy("__block").cogroup(notes.unionByName(found).groupBy("block")).applyInArrow(third, out_schema)
+    return keyed.groupBy(block).cogroup(notes.unionByName(found).groupBy("block")).applyInArrow(third, out_schema)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
