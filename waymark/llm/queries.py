@@ -78,9 +78,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-#: The other operators draw, learn, hash with XXH64 or align, which SQL can't express; tests hold them
-#: against brute force.
+#: The other operators draw, learn, hash with XXH64, tokenise or align, which SQL can't express.  Tests hold
+#: them against brute force: op1's counts, labelling and verdict, op2's ids and places, op3's pairing and
+#: alignment, op4's matrix and shards, op5's matches, op6's fingerprints and components, op7's optimum and
+#: cut, op9's segmentation.
 ORACLES = {
+    "op8_prefix_free_parsing": """
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        places AS (SELECT r, k, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i, h FROM d),
+        strings AS (SELECT r, k, i, substring(h, 2 * i + 1, 100) AS s FROM places),
+        hits AS (SELECT r, i FROM (SELECT r, i, k, min(k) OVER (PARTITION BY s) AS first FROM strings) WHERE first < k),
+        ends AS (SELECT r, i, CASE WHEN lag(i) OVER w + 50 >= i THEN 0 ELSE 1 END AS new FROM hits WINDOW w AS (PARTITION BY r ORDER BY i)),
+        spans AS (SELECT r, min(i) AS a, max(i) + 50 AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM ends) GROUP BY r, g),
+        cuts AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM spans),
+        parts AS (SELECT d.r, sum(z - a) AS removed, count(*) AS n, string_agg(substring(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substring(any_value(h), 2 * max(z) + 1) AS rest
+                  FROM cuts JOIN d USING (r) GROUP BY d.r)
+        SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+        FROM d LEFT JOIN parts USING (r)""",
     "op10_warc_reassembly": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         w AS (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS winner FROM p)

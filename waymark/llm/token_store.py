@@ -21,6 +21,7 @@ A lookup therefore costs a few bit tests, one rank and one fingerprint test, wha
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -40,13 +41,14 @@ from waymark.llm.common import mix64, partitions, scratch_path, slices
 SHARD_IDS = 1 << 20
 KEYS_PER_BUCKET = 50_000
 GAMMA = 2.0
-#: The key under which rows without a doc_id are stored.
-NULL_KEY = -(1 << 63)
+#: The bucket of the rows without a doc_id, and the key that stands for them in it.
+NULL_BUCKET, NULL_KEY = -1, 0
 #: Bytes of text encoded at once: the more, the more often a word is met again.
 ENCODE_BYTES = 12 << 20
-#: Words and pre-tokens whose ids a worker remembers.
+#: Words and pre-tokens whose ids a worker remembers, and their characters at most.
 CACHE_WORDS = 300_000
 CACHE_PRETOKENS = 700_000
+CACHE_CHARS = 16 << 20
 #: Marks that the pattern always parts from the letters before them when nothing follows.
 MARKS = frozenset(".,;:!?")
 
@@ -54,6 +56,16 @@ MARKS = frozenset(".,;:!?")
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def is_byte_bpe(path: str) -> bool:
+    """Whether a tokenizer's file is a byte-level BPE with the pattern above and nothing around it."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    cut, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = made.get("normalizer") is None and made.get("truncation") is None and made.get("padding") is None
+    bare = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    return plain and bare and model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+
+
 class FastEncoder:
     """Encode whole texts with a ``tokenizers`` file, remembering the ids of words.
 
@@ -70,6 +82,7 @@ class FastEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = is_byte_bpe(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype(dtype or ("<u2" if size <= 1 << 16 else "<u4"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -81,6 +94,7 @@ class FastEncoder:
         self.begins[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t[:1] == "\u0120"]] = True
         self.pretokens: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.word_chars = self.pretoken_chars = 0
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
@@ -97,10 +111,11 @@ class FastEncoder:
 
     def _recall(self, wanted: set[str]) -> dict[str, bytes]:
         """Packed ids of pre-tokens."""
-        if len(self.pretokens) > CACHE_PRETOKENS:
-            self.older, self.pretokens = self.pretokens, {}
+        if len(self.pretokens) > CACHE_PRETOKENS or self.pretoken_chars > CACHE_CHARS:
+            self.older, self.pretokens, self.pretoken_chars = self.pretokens, {}, 0
         known, older = self.pretokens, self.older
         unseen = wanted.difference(known)
+        self.pretoken_chars += sum(map(len, unseen))
         known.update((p, older[p]) for p in unseen.intersection(older))
         unseen.difference_update(older)
         plain = [p for p in unseen if p[0] == " " and p[1:].isalpha()]
@@ -129,6 +144,8 @@ class FastEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; empty texts give none."""
+        if not self.known:
+            return [self._pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         # A line end begins a piece of its own, which then has no space before it.
         cut = [text.replace("\n", " \n").split(" ") for text in texts]
         heads = [ws[0] for ws in cut]
@@ -136,9 +153,11 @@ class FastEncoder:
             del ws[0]
         wanted = set().union(*cut)
         if (missing := wanted.difference(self.words)):
-            if len(self.words) + len(missing) > CACHE_WORDS:
-                self.older_words, self.words = self.words, {}
-                missing = wanted
+            fresh = sum(map(len, missing))
+            if len(self.words) + len(missing) > CACHE_WORDS or self.word_chars + fresh > CACHE_CHARS:
+                self.older_words, self.words, self.word_chars = self.words, {}, 0
+                missing, fresh = wanted, sum(map(len, wanted))
+            self.word_chars += fresh
             again = missing.intersection(self.older_words)
             self.words.update((w, self.older_words[w]) for w in again)
             self._learn(missing - again)
@@ -270,14 +289,14 @@ def build_index(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, counts, keys in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "counts", "keys"))):
                 n = np.frombuffer(counts, "<u4").astype(np.int64)
-                k = pc.fill_null(pa.array(keys, pa.int64()), NULL_KEY)
+                k = pa.array(keys, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [k, pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), seq, np.int32)), pa.array(np.cumsum(n) - n), pa.array(n)], schema=PLACES
                 )
 
     def build(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        doc = table.column("doc_id").to_numpy()
+        doc = pc.fill_null(table.column("doc_id"), NULL_KEY).to_numpy()
         order = np.lexsort((table.column("offset").to_numpy(), table.column("seq").to_numpy(), table.column("part").to_numpy(), doc))
         doc = doc[order].astype(np.int64)
         keys, starts = np.unique(doc.view(np.uint64), return_index=True)
@@ -311,7 +330,7 @@ def build_index(shards: DataFrame) -> DataFrame:
 
 
 def key_bucket(key, buckets: int):
-    return F.pmod(F.xxhash64(key), F.lit(buckets))
+    return F.when(key.isNull(), F.lit(NULL_BUCKET).cast("bigint")).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))
 
 
 def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
@@ -322,13 +341,14 @@ def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     buckets = index.agg(F.max("buckets")).first()[0] or 1
-    asked = keys.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc_id")).distinct().withColumn("bucket", key_bucket(F.col("doc_id"), buckets))
+    asked = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("bucket", key_bucket(F.col("doc_id"), buckets))
 
     def look(asked_: pa.Table, stored: pa.Table) -> pa.Table:
         if not stored.num_rows or not asked_.num_rows:
             return PLACES.empty_table()
         row = stored.slice(0, 1).to_pylist()[0]
-        doc = asked_.column("doc_id").to_numpy().astype(np.int64)
+        missing = row["bucket"] == NULL_BUCKET
+        doc = pc.fill_null(asked_.column("doc_id"), NULL_KEY).to_numpy().astype(np.int64)
         levels = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(row["bits"], row["sizes"])]
         slots = mph_slots(levels, doc.view(np.uint64))
         marks = np.frombuffer(row["fingerprints"], "<u4")
@@ -339,10 +359,10 @@ def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         size = first[slots + 1] - first[slots]
         at = np.repeat(first[slots] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         part, seq, offset, n = (np.frombuffer(row[c], k)[at] for c, k in (("part", "<i4"), ("seq", "<i4"), ("offset", "<i8"), ("n", "<u4")))
-        return pa.Table.from_arrays([pa.array(np.repeat(doc, size)), pa.array(part), pa.array(seq), pa.array(offset), pa.array(n.astype(np.int64))], schema=PLACES)
+        found = np.repeat(doc, size)
+        return pa.Table.from_arrays([pa.nulls(len(found), pa.int64()) if missing else pa.array(found), pa.array(part), pa.array(seq), pa.array(offset), pa.array(n.astype(np.int64))], schema=PLACES)
 
-    found = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look, "doc_id bigint, part int, seq int, offset bigint, n bigint")
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_KEY)))
+    return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(look, "doc_id bigint, part int, seq int, offset bigint, n bigint")
 
 
 def fetch(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
