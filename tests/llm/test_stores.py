@@ -43,6 +43,28 @@ def test_encoder_forgets_without_harm(library, monkeypatch):
         assert own.encode([text])[0] == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
+def test_other_tokenizers_are_served_by_the_library(library, tmp_path):
+    import json
+
+    assert token_store.is_byte_bpe(BPE)
+    with open(BPE) as f:
+        made = json.load(f)
+    made["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    own = token_store.FastEncoder(str(tmp_path / "other.json"))
+    texts = ["Hello WORLD", "", "A  b\nC"]
+    assert not own.known and own.encode(texts) == [np.asarray(library.encode(t.lower(), add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
+def test_memories_are_bounded_in_characters(library, monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_CHARS", 300)
+    own = token_store.FastEncoder(BPE)
+    for i in range(20):
+        text = f"a{'bc' * i}d " * 3 + "x" * (40 * i)
+        assert own.encode([text])[0] == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert own.word_chars < 2000 and len(own.words) < 20
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64))
     levels = token_store.build_mph(keys)
@@ -52,19 +74,22 @@ def test_minimal_perfect_hash():
 
 def test_store_round_trip_and_lookup(spark, library, monkeypatch):
     monkeypatch.setattr(token_store, "KEYS_PER_BUCKET", 1)  # so that some buckets are empty
-    rows = [(i * 3, f"text number {i} " * (i % 5)) for i in range(60)] + [(6, "again"), (None, "no key"), (500, None), (501, ""), (502, "long " * 50_000)]
+    rows = [(i * 3, f"text number {i} " * (i % 5)) for i in range(60)] + [(6, "again"), (None, "no key"), (0, "zero"), (-(1 << 63), "the least"), (None, "none again"), (500, None), (501, ""), (502, "long " * 50_000)]
     docs = spark.createDataFrame(rows, DOCS)
     got = token_store.store_digest(docs, BPE).collect()
     encode = lambda t: library.encode(t or "", add_special_tokens=False).ids + [2]
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(d), len(encode(t)), crc(encode(t))) for d, t in rows)
     placed = sorted(got, key=lambda r: r.start)
-    assert placed[0].doc_id is None and [r.doc_id for r in placed[1:]] == sorted(r.doc_id for r in placed[1:])
+    assert [r.doc_id for r in placed[:3]] == [None, None, -(1 << 63)] and [r.doc_id for r in placed[2:]] == sorted(r.doc_id for r in placed[2:])
     assert [r.start for r in placed] == [sum(x.n_tokens for x in placed[:i]) for i in range(len(placed))]
     path = scratch_path(spark, "store-test")
     token_store.write_store(docs, path, BPE, shard_ids=300)
     found = token_store.fetch(spark, path, spark.createDataFrame([(6,), (9,), (9999,), (502,)], "doc_id bigint")).collect()
     assert sorted((r.doc_id, list(r.ids)) for r in found) == sorted((d, encode(t)) for d, t in rows if d in (6, 9, 502))
+    for key in (None, -(1 << 63), 0):
+        found = token_store.fetch(spark, path, spark.createDataFrame([(key,)], "doc_id bigint")).collect()
+        assert sorted((r.doc_id is None, list(r.ids)) for r in found) == sorted((d is None, encode(t)) for d, t in rows if d == key)
     assert token_store.store_digest(docs.limit(0), BPE).count() == 0
 
 
@@ -197,6 +222,30 @@ def test_pieces_round_trip_and_best_score(model, text):
     assert score == pytest.approx(best[-1])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abethinTo\né日🎉.▁", min_size=1, max_size=40))
+def test_long_words_are_cut_as_short_ones(model, word):
+    import unittest.mock
+
+    with unittest.mock.patch.object(pieces, "SEGMENT", 7):
+        long = model.long_viterbi(word)
+    assert model.packed(long, word) == model.encode_words([word])[0]
+
+
+def test_a_word_of_any_length(model):
+    import time
+    import tracemalloc
+
+    began = time.time()
+    text = "日本語thereisnospace" * 6_000
+    tracemalloc.start()
+    packed = model.encode([text])[0]
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert len(model.encode([text * 8])[0]) > 7 * len(packed)
+    assert model.decode(packed) == text and time.time() - began < 120
+
+
 def test_pieces_equal_the_library_as_unigram_model(model):
     import sentencepiece
 

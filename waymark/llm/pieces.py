@@ -25,7 +25,11 @@ from pyspark.sql import DataFrame
 from waymark.llm.common import slices
 
 SPACE = "▁"
-CACHE_WORDS = 600_000
+#: Words that a worker remembers, and their characters, at most.
+CACHE_WORDS = 300_000
+CACHE_CHARS = 8 << 20
+#: Words of more characters (text without spaces) are decoded one by one, in segments of so many.
+LONG_WORD, SEGMENT = 1024, 1 << 16
 #: Fixed values of the format: piece types, and how much an unknown character costs.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
@@ -107,6 +111,7 @@ class PieceModel:
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else (" ⁇ " if t == UNKNOWN else p.replace(SPACE, " ")).encode() for p, t in zip(self.pieces, self.types)]
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {"": b""}
+        self.chars = {SPACE: 0, "": 0}
 
     # --- Viterbi ---
 
@@ -151,12 +156,65 @@ class PieceModel:
             live = live[start > 0]
         return [row[row > -2] for row in out] if (out < -1).any() else list(out)
 
+    def long_viterbi(self, word: str) -> np.ndarray:
+        """Piece ids of one word of any length, as ``viterbi`` gives them, in memory for a few bytes a character.
+
+        Substring hashes of a segment of starts probe the keys together; the hits, which are few, then go
+        forward start by start.  Of equal sums the longer piece was there first.
+        """
+        chars = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        n = len(chars)
+        best = np.full(n + 1, -np.inf)
+        best[0] = 0.0
+        back, own = np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+        for lo in range(0, n, SEGMENT):
+            hi = min(lo + SEGMENT, n)
+            some = chars[lo : hi + self.longest].astype(np.uint64)
+            h = np.zeros(len(some), np.uint64)
+            starts, sizes, scores, ids = [], [], [], []
+            for k in range(min(self.longest, n - lo)):
+                width = min(hi - lo, len(some) - k)
+                h = h[:width] * BASE + some[k : k + width]
+                keys, score, names = self.tables[k]
+                hit = np.empty(0, np.int64)
+                if len(keys):
+                    at = np.searchsorted(keys, h)
+                    at[at == len(keys)] = 0
+                    hit = np.flatnonzero(keys[at] == h)
+                    starts.append(hit)
+                    sizes.append(np.full(len(hit), k + 1))
+                    scores.append(score[at[hit]])
+                    ids.append(names[at[hit]])
+                if k == 0:
+                    lone = np.setdiff1d(np.arange(width), hit)
+                    starts.append(lone)
+                    sizes.append(np.ones(len(lone), np.int64))
+                    scores.append(np.full(len(lone), self.unknown_score))
+                    ids.append(np.full(len(lone), -1))
+            start, size, score, name = (np.concatenate(x) for x in (starts, sizes, scores, ids))
+            order = np.lexsort((size, start))
+            reach = best[lo : hi + self.longest + 1].tolist()
+            for i, k, s, p in zip(start[order].tolist(), size[order].tolist(), score[order].tolist(), name[order].tolist()):
+                total = reach[i] + s
+                if total > reach[i + k]:
+                    reach[i + k] = total
+                    back[lo + i + k], own[lo + i + k] = k, p
+            best[lo : hi + self.longest + 1] = reach
+        out = []
+        end = n
+        while end:
+            out.append(own[end])
+            end -= back[end]
+        return np.array(out[::-1], dtype=np.int64)
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Packed ids of words as they are, spaces already replaced."""
         result: list[bytes] = [b""] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            if w:
+            if len(w) > LONG_WORD:
+                result[i] = self.packed(self.long_viterbi(w), w)
+            elif w:
                 by_size.setdefault(len(w), []).append(i)
         for size, own in by_size.items():
             step = max(1, (1 << 20) // (size * min(size, self.longest)))
@@ -192,10 +250,12 @@ class PieceModel:
         missing = wanted.difference(memory)
         if not missing:
             return
-        if len(memory) + len(missing) > CACHE_WORDS:
+        chars = sum(map(len, missing))
+        if len(memory) + len(missing) > CACHE_WORDS or self.chars[before] + chars > CACHE_CHARS:
             memory.clear()
             self.bare.setdefault("", b"")
-            missing = wanted
+            missing, chars, self.chars[before] = wanted, sum(map(len, wanted)), 0
+        self.chars[before] += chars
         new = list(missing)
         memory.update(zip(new, self.encode_words([before + w for w in new])))
 
@@ -251,7 +311,9 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), round_trip (decoding gives the text back) of every row.
 
     A null text counts as empty: no ids, and it decodes to the empty text.  A text that holds the
-    space mark U+2581 decodes with spaces in its place, so its round trip is false.
+    space mark U+2581 decodes with spaces in its place, so its round trip is false.  Long texts are
+    encoded whole, in little memory also without any space.  Repeated rows give a row each, rows
+    without a doc_id one with a null; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
