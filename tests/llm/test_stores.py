@@ -182,10 +182,11 @@ def test_shards(spark):
 
 
 def test_shuffle_is_uniform_and_keeps_columns(spark):
-    df = spark.range(4000).selectExpr("id", "id AS slot", "'x' AS shard")
+    df = spark.range(4000).selectExpr("id", "id AS slot", "'x' AS shard", "id AS __row", "id AS __part", "id + 1 AS __key", "id AS row", "id AS `a.b`", "id AS __bounds")
     got = sharding.communication_shuffle(df, 8, seed=5, rows_per_partition=300)
-    assert got.columns == ["id", "shard", "slot"]
+    assert got.columns == ["id", "__row", "__part", "__key", "row", "a.b", "__bounds", "shard", "slot"]
     rows = got.collect()
+    assert all(r["__row"] == r["__part"] == r["__key"] - 1 == r["row"] == r["a.b"] == r.id for r in rows)
     table = np.zeros((8, 8))
     for r in rows:
         table[r.id * 8 // 4000, r.shard] += 1

@@ -7,6 +7,13 @@ training labels best.  Scores are then put on 0..1 so that the cut lies at ``CUT
 
 The fit sees a bounded sample, ``SAMPLE_ROWS`` labelled rows with the smallest hashes; scoring sees
 every whole text.
+
+Defined cases: a null text counts as empty, and an empty text has the features of no words; long texts
+are scored whole; equal texts have equal scores, and repeated rows a row each; of labels that contradict
+the larger counts, and rows or labels without a doc_id or quality don't train; without labels of both
+kinds all documents score alike, above the cut; of quantiles that separate the labels equally well the
+lowest is the cut; an empty table gives an empty result; columns called ``score`` or ``predicted`` are
+replaced, others pass through.
 """
 
 from __future__ import annotations

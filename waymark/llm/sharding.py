@@ -7,8 +7,14 @@ its row of the matrix, exchanged, and every shard is permuted again.  Shard size
 one row apart) and no task ever sorts a whole shard: inside a shard the second permutation is an
 order by (random bucket, random key), with the buckets' offsets counted beforehand.
 
-Only DataFrame operations run on the executors.  What reaches the driver is one count per source
-partition (``ROWS_PER_PARTITION`` rows each).
+Only DataFrame operations run on the executors.  What reaches the driver, and goes back to the
+executors as the matrix, is one row per source partition (``ROWS_PER_PARTITION`` rows each), so a row
+for every 200,000 of the input.
+
+Defined cases: nulls, ties and repeated rows are placed like any other row, since a place depends on a
+row number taken once and written out; a null text counts as empty; long texts only count their size;
+an empty table gives an empty result; columns called ``shard`` or ``slot`` are replaced, all other names
+are free, as the input's columns travel in one struct.
 """
 
 from __future__ import annotations
@@ -38,13 +44,12 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 def communication_shuffle(df: DataFrame, shards: int = 40, seed: int = 1, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 inside each shard).
 
-    Every row is kept, whatever its values: nulls and repeated rows are placed like any other, since
-    the place depends on a row number taken once and written out.  An empty input gives an empty
-    output.  Columns of the input called ``shard`` or ``slot`` are replaced.
+    Every row is kept; its other columns pass through.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = materialize(df.select(*kept, F.monotonically_increasing_id().alias("__row")), "shuffle-rows")
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(0)
+    rows = materialize(df.select(whole.alias("row"), F.monotonically_increasing_id().alias("__row")), "shuffle-rows")
     n = rows.count()
     sources = max(1, -(-n // rows_per_partition))
     rows = rows.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(sources)).cast("int"))
@@ -69,7 +74,7 @@ def communication_shuffle(df: DataFrame, shards: int = 40, seed: int = 1, rows_p
         sent.withColumn("__rank", F.row_number().over(again) - 1)
         .join(offsets, ["shard", "__bucket"])
         .withColumn("slot", (F.col("__offset") + F.col("__rank")).cast("long"))
-        .select(*kept, "shard", "slot")
+        .select(*(F.col("row").getField(c).alias(c) for c in kept), "shard", "slot")
     )
 
 
