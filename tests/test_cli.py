@@ -15,6 +15,9 @@ def test_commands(spark, capsys, tmp_path):
     (tmp_path / "in" / "part-0").write_text("\n".join(LINES))
     out = f"{tmp_path}/snapshot"
     assert call(spark, capsys, "doctor")[0] == 0
+    code, said = call(spark, capsys, "profile-data", f"{tmp_path}/in")
+    profile = json.loads(said[0])
+    assert code == 0 and (profile["n_points"], profile["min_lon"], profile["max_lat"]) == (3, 116.30, 39.99)
     code, said = call(spark, capsys, "build-snapshot", f"{tmp_path}/in", "--out", out, "--dataset-id", "tdrive_v1")
     assert code == 0 and json.loads(said[0])["status"] == "READY"
     assert json.loads(said[0])["rejects"] == {"PARSE": 1}

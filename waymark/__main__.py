@@ -63,8 +63,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         out({"spark": spark.version, "rows": spark.range(3).count()})
         return 0
     if args.command == "profile-data":
+        degrees = parsers.flatten(parsers.read_raw(spark, args.input, args.kind).accepted)
+        ranges = degrees.agg(*(f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max)))).first().asDict()
         cleaned = ingest.clean(raw_points(spark, args))
-        out(ingest.profile(cleaned.points).first().asDict())
+        out(ingest.profile(cleaned.points).first().asDict() | ranges)
         return 0
     if args.command == "build-snapshot":
         parsed = parsers.read_raw(spark, args.input, args.kind)

@@ -476,11 +476,11 @@ def _(spark, d):
 DAMAGED = f", expected AS (SELECT unnest(range(b0, b1 + 1)) AS code, tid, chunk_id FROM buckets) "
 
 
-def damaged(s: Snapshot) -> DataFrame:
-    """Differences of a time index that lost the postings of every tenth trajectory and has strange ones."""
-    good = s.postings("time")
+def damaged(s: Snapshot, kind: str = "time") -> DataFrame:
+    """Differences of an index that lost the postings of every tenth trajectory and has strange ones."""
+    good = s.postings(kind)
     stored = good.where("tid % 10 <> 3").unionByName(good.where("tid % 10 = 4 AND chunk_id = 0").withColumn("code", F.col("code") + 100_000))
-    return postings.verify("time", stored, s.chunks, s.layout)
+    return postings.verify(kind, stored, s.chunks, s.layout)
 
 
 @register("posting_verify_missing", DAMAGED + "SELECT code, tid, chunk_id, 'MISSING' AS fault FROM expected WHERE tid % 10 = 3")
@@ -493,6 +493,21 @@ def _(spark, d):
     return damaged(snapshot(spark, d)).where("fault = 'EXTRA'")
 
 
+@register("posting_verify_zorder", f", expected AS (SELECT {MORTON} AS code, tid, chunk_id FROM ({SPREAD_Z})) SELECT code, tid, chunk_id, 'MISSING' AS fault FROM expected WHERE tid % 10 = 3 UNION ALL SELECT code + 100000, tid, chunk_id, 'EXTRA' FROM expected WHERE tid % 10 = 4 AND chunk_id = 0")
+def _(spark, d):
+    return damaged(snapshot(spark, d), "zorder")
+
+
+@register("stats_posting_totals", f"SELECT 'time' AS kind, CAST(sum(b1 - b0 + 1) AS BIGINT) AS n FROM buckets UNION ALL SELECT 'zorder', count(*) FROM ({SPREAD_Z}) UNION ALL SELECT unnest(['hash', 'xz', 'tshape', 'xzt']), count(*) FROM chunks")
+def _(spark, d):
+    s = snapshot(spark, d)
+    counts = [s.postings(k).agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k in postings.KINDS]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # --- front-ends -------------------------------------------------------------------------------------
 
 TEXT_WINDOW = ("2024-01-09T00:00:00+00:00", "2024-01-12T00:00:00+00:00")
