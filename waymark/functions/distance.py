@@ -11,13 +11,18 @@ grows: they are for short arrays.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# Scorers travel whole, so executors need not have this package to score.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 METRICS = ("DTW", "FRECHET", "HAUSDORFF")
 EMPTY = "an empty trajectory has no distance"
 #: Cells of a diagonal, or of a table of distances, held at once.
