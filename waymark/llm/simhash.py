@@ -8,6 +8,16 @@ front, are a binary trie: a sorted array in which a node is a range.  Node pairs
 together from the root, bit by bit; a pair of different branches costs one bit, and a pair over its
 budget is pruned with everything below it.  Each task returns a spanning forest of its links, so a
 dense group gives no more rows than it has members.
+
+Defined cases: null, empty and blank texts have no words and fingerprint zero, and are copies of each
+other; long texts are taken whole; equal texts have equal fingerprints, and repeated rows a row each;
+a group is named by its least doc_id, and rows without one never name a group that has one; an empty
+table gives an empty result; other columns pass through or are not looked at.
+
+The near-duplicate stage asks for more than the trie join can give: texts of a shingle similarity of 0.8
+differ in 10 of 64 bits on average, too many for a budget.  So it takes candidates from the trie join
+of word fingerprints, which few edits change, and from bands of least hashes besides, and verifies
+each candidate on the sets of shingles.
 """
 
 from __future__ import annotations
@@ -18,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import attach, materialize, mix64, partitions, parts_for, slices
+from waymark.llm.common import discard, materialize, mix64, partitions, parts_for, slices
 from waymark.llm.graph import connected_components
 
 SEED = 42
@@ -306,12 +316,9 @@ def near_profiles(docs: DataFrame) -> DataFrame:
 def _may_be_near(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The distinct pairs a < b of ``pairs`` (src, dst) that sizes and wide fingerprints don't rule out."""
     sides = ["n", "s1", "s2", "s3", "s4"]
-    pairs = materialize(pairs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "simhash-asked")
-    total = pairs.count()
+    pairs = pairs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     for end in ("a", "b"):
-        times = pairs.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("times"))
-        wanted = points.join(times, "id").select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in sides), F.col("times").alias("n"))
-        pairs = attach(pairs, wanted, end, total).drop("__salt")
+        pairs = pairs.join(points.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in sides)), end)
     bits = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in sides[1:])
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     return pairs.where((small >= large * F.lit(SIMILARITY) - 1e-6) & ((small < SMALL_SET) | (bits <= LOOSE_BITS))).select("a", "b")
@@ -323,11 +330,13 @@ def row_filter(places: DataFrame) -> np.ndarray:
     size = 1 << FILTER_BLOCK
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
         for batch in batches:
-            bits[batch.column(0).to_numpy()] = True
-        found = np.flatnonzero(bits.reshape(-1, size).any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([np.packbits(bits[b * size : (b + 1) * size]).tobytes() for b in found.tolist()], pa.binary())], names=["block", "bits"])
+            at = batch.column(0).to_numpy()
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        blocks = bits.reshape(-1, size // 8)
+        found = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([blocks[b].tobytes() for b in found.tolist()], pa.binary())], names=["block", "bits"])
 
     def unite(table: pa.Table) -> pa.Table:
         bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
@@ -340,6 +349,14 @@ def row_filter(places: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def in_filter(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(bits[places >> 3] >> (7 - (places & 7)) & 1)
+
+
+def place_of(*columns) -> Column:
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("place")
+
+
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b: ids) whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, as src, dst.
 
@@ -347,20 +364,20 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
     over hashes leaves out nearly all others before anything is exchanged.
     """
     spark = docs.sparkSession
-    place = F.xxhash64("doc_id", "text_hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("place")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    asked = ends.groupBy("id").agg(F.count("*").alias("n"))
-    bitmap = spark.sparkContext.broadcast(row_filter(points.join(asked, "id", "left_semi").select("best.doc_id", "best.text_hash").select(place)))
-    source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).select(place, "text")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    bitmap = spark.sparkContext.broadcast(row_filter(points.join(ends, "id", "left_semi").select("best.doc_id", "best.text_hash").select(place_of("doc_id", "text_hash"))))
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).select(place_of("doc_id", "text_hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text give its set once per task
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            found = np.flatnonzero(bitmap.value[at >> 3] >> (7 - (at & 7)) & 1)
+            found = in_filter(bitmap.value, batch.column(0).to_numpy())
             for i in range(0, len(found), 64):
                 sets = [np.unique(shingle_hashes(words_of(t), 5)) for t in batch.column(1).take(pa.array(found[i : i + 64])).to_pylist()]
-                ids = np.array([set_id(x) for x in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+                new = {k: x for k, x in zip(map(set_id, sets), sets) if k not in seen}
+                seen.update(new)
+                ids = np.array(list(new), dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in new.values()], pa.binary())], names=["id", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,14 +388,14 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
                 near.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["src", "dst"])
 
-    sets = source.mapInArrow(run, "id bigint, shingles binary").dropDuplicates(["id"])
-    total = pairs.count()
-    both = pairs.select("a", "b")
-    for end, name in (("a", "x"), ("b", "y")):
-        times = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        wanted = sets.join(times, sets.id == times[end]).select(end, "n", F.col("shingles").alias(name))
-        both = attach(both, wanted, end, total).drop("__salt")
-    return both.where("x IS NOT NULL AND y IS NOT NULL").select("a", "b", "x", "y").mapInArrow(compare, "src bigint, dst bigint")
+    sets = materialize(source.mapInArrow(run, "id bigint, shingles binary"), "simhash-sets")
+    # The pairs, narrow rows, are the hashed side of the first join, so that no wide row is sorted for it.
+    both = pairs.select("a", "b").hint("shuffle_hash").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    near = materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "src bigint, dst bigint"), "simhash-links")
+    discard(sets)
+    bitmap.destroy()
+    return near
 
 
 def band_members(points: DataFrame) -> DataFrame:
@@ -386,8 +403,20 @@ def band_members(points: DataFrame) -> DataFrame:
     one with a small hash, so that bands of like members have one leader."""
     spread = points.select(F.explode("bands").alias("key"), "id")
     lead = spread.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    lead = materialize(lead.select("key", F.col("first.id").alias("leader"), "n"), "simhash-leaders")
-    return attach(spread, lead, "key", lead.agg(F.sum("n")).first()[0] or 0).where("leader IS NOT NULL").select("key", "id", "leader")
+    lead = materialize(lead.select("key", F.col("first.id").alias("leader")), "simhash-leaders")
+    # Most keys are of one point: a map of the others leaves them out before they are exchanged again.
+    bitmap = points.sparkSession.sparkContext.broadcast(row_filter(lead.select(place_of("key"))))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = in_filter(bitmap.value, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(found)) for i in (1, 2)], names=["key", "id"])
+
+    kept = spread.select(place_of("key"), "key", "id").mapInArrow(shared, "key bigint, id bigint")
+    members = materialize(kept.join(lead, "key").select("key", "id", "leader"), "simhash-bands")
+    bitmap.destroy()
+    discard(lead)
+    return members
 
 
 def band_pairs(members: DataFrame) -> DataFrame:
@@ -400,9 +429,8 @@ def band_pairs(members: DataFrame) -> DataFrame:
     sides = ["s1", "s2", "s3", "s4"]
     blocks = F.ceil(F.col("size") / BAND_BLOCK)
     mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = materialize(mixed.select("key", F.col("n").alias("size"), "n"), "simhash-mixed")
-    total = mixed.agg(F.sum("n")).first()[0] or 0
-    found = attach(members.withColumnRenamed("n", "count"), mixed, "key", total).where("size IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    mixed = materialize(mixed.select("key", F.col("n").alias("size")), "simhash-mixed")
+    found = members.withColumnRenamed("n", "count").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     work = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     work = work.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "count", *sides)
 
@@ -448,7 +476,8 @@ def near_groups(docs: DataFrame, word_bits: int = WORD_BITS) -> tuple[DataFrame,
     Points of one root are connected by links of Jaccard similarity 0.8 or more, each verified.  Links
     are sought in two rounds: those of the trie join of word fingerprints, of points to the leader of
     their fingerprint, and of each band's members to its leader; then all pairs in a band that are not
-    connected yet, so that a large group costs no pair of its members twice.
+    connected yet, so that a large group costs no pair of its members twice.  Joins look up written
+    tables, so that adaptive execution can deal the rows of a frequent key to several tasks.
     """
     marked = materialize(near_profiles(docs), "simhash-profile")
     sides = ["s1", "s2", "s3", "s4"]
@@ -457,16 +486,17 @@ def near_groups(docs: DataFrame, word_bits: int = WORD_BITS) -> tuple[DataFrame,
     best = marked.groupBy("id").agg(least.alias("m")).select("id", F.struct("m.doc_id", "m.text_hash").alias("best"), *(f"m.{c}" for c in ("fp", "n", *sides, "bands")))
     points = materialize(best, "simhash-points")
     heads = materialize(points.groupBy("fp").agg(F.min("id").alias("head"), F.count("*").alias("n")), "simhash-heads")
-    members = materialize(band_members(points), "simhash-bands")
+    members = band_members(points)
     links = trie_links(heads.select(F.col("head").alias("id"), "fp"), word_bits)
-    links = links.union(attach(points.select("id", "fp"), heads.where("n > 1"), "fp", points.count()).where("head IS NOT NULL").select("id", "head"))
+    links = links.union(points.select("id", "fp").join(heads.where("n > 1").select("fp", "head"), "fp").select("id", "head"))
     asked = materialize(_may_be_near(links.union(members.select("id", "leader")), points), "simhash-pairs")
-    first = materialize(verified(asked, points, docs), "simhash-links")
+    first = verified(asked, points, docs)
     roots = materialize(connected_components(first), "simhash-roots")
     rooted = members.select("key", "id").join(roots, members.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_ = rooted.join(points.select("id", "n", *sides), "id")
-    asked = band_pairs(open_).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    second = verified(materialize(asked, "simhash-pairs"), points, docs)
+    open_ = materialize(rooted.join(points.select("id", "n", *sides), "id"), "simhash-open")
+    more = materialize(band_pairs(open_).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "simhash-pairs")
+    discard(asked, first, members, open_)
+    second = verified(more, points, docs)
     roots = connected_components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(second))
     return marked, points.join(roots, points.id == roots.node, "left").select("id", "best", F.coalesce("root", "id").alias("root"))
 
