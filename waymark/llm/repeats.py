@@ -57,7 +57,7 @@ BUCKET_BYTES = 4 << 20
 #: Occurrences (runs of strings, estimated by powers of two) from which a minimiser's strings are dealt one by one.
 HOT_RUNS = 8192
 #: Bytes of a trigger in the second parse, and one trigger in so many places.
-WINDOW, PIECE = 8, 16
+WINDOW, PIECE = 8, 32
 #: Most strings in one stretch of text; its length then fits a byte.
 STRETCH = 128
 NULL_DOC = -(1 << 63)
@@ -395,13 +395,23 @@ def corpus_order(text: bytes, word: np.ndarray, length: np.ndarray, at: np.ndarr
     dictionary = np.frombuffer(b"".join(names) + bytes(WINDOW), np.uint8)
     size = np.array([len(p) for p in names], dtype=np.int64)
     place = np.cumsum(size) - size
-    # Its suffixes in order, to 50 bytes.
-    suffix = np.arange(int(size.sum()))
-    room = np.repeat(place + size, size) - suffix
-    rank = ranked(*words_at(eights(dictionary), suffix, room), np.minimum(room, LENGTH))
-    # The suffixes of the parse in order: by their first phrase, then by twice as many phrases each time.
+    # Its suffixes in order, to 50 bytes: the phrases themselves, and those where a string asked for begins.
+    phrase = np.searchsorted(begin, at, "right") - 1
+    offset = at - begin[phrase]
+    asked = np.zeros(int(size.sum()), bool)
+    asked[place] = True
+    asked[place[name[phrase]] + offset] = True
+    suffix = np.flatnonzero(asked)
+    room = (place + size)[np.searchsorted(place, suffix, "right") - 1] - suffix
+    rank = np.zeros(len(asked), np.int64)
+    rank[suffix] = ranked(*words_at(eights(dictionary), suffix, room), np.minimum(room, LENGTH))
+    # The suffixes of the parse in order: by their first phrase, then by twice as many phrases each time,
+    # until a stretch, or 50 bytes, have no more.
     follow = rank[place[name]]
+    most = int(np.bincount(of).max()) if len(of) else 0
     for step in (1, 2, 4, 8, 16, 32):
+        if step >= most:
+            break
         after = np.zeros(len(follow), np.int64)
         same = of[step:] == of[:-step]
         after[:-step][same] = follow[step:][same]
@@ -409,8 +419,6 @@ def corpus_order(text: bytes, word: np.ndarray, length: np.ndarray, at: np.ndarr
     behind = np.zeros(len(follow), np.int64)
     behind[:-1][~last[:-1]] = follow[1:][~last[:-1]]
     # Both orders together.
-    phrase = np.searchsorted(begin, at, "right") - 1
-    offset = at - begin[phrase]
     short = size[name[phrase]] - offset < LENGTH
     key = rank[place[name[phrase]] + offset] * (len(follow) + 2) + np.where(short, behind[phrase], 0)
     return np.argsort(key, kind="stable"), key
