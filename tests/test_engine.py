@@ -165,6 +165,31 @@ def test_postings_are_verified_in_both_directions(golden):
     assert snapshot.open_snapshot(s.spark, s.path).manifest["status"] == "READY"
 
 
+def test_verification_broadcasts_no_postings(golden):
+    """Posting files are tiny for their rows: a join of single postings is broadcast, through the driver."""
+    s = golden.snapshot
+    s.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for kind in postings.KINDS:
+            assert "Broadcast" not in postings.verify(kind, s.postings(kind), s.chunks, s.layout)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        s.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("kind", ["time", "zorder"])
+def test_verification_finds_each_fault_once(golden, kind):
+    s = golden.snapshot
+    good = postings.build(kind, s.chunks, s.layout)
+    first = good.orderBy("tid", "chunk_id", "code").first()
+    strange = [(first.code + 9999, first.tid, first.chunk_id)] * 2 + [(first.code, 999, 0), (None, first.tid, first.chunk_id), (first.code, None, 0), (first.code, first.tid, None)]
+    stored = good.where(f"NOT (tid = {first.tid} AND chunk_id = {first.chunk_id} AND code = {first.code})").unionByName(s.spark.createDataFrame(strange, "code bigint, tid bigint, chunk_id int"))
+    found = sorted(map(tuple, postings.verify(kind, stored.unionByName(stored), s.chunks, s.layout).collect()), key=str)
+    assert found == sorted([(*first, "MISSING"), *((*x, "EXTRA") for x in set(strange))], key=str)
+    # A chunk that lost all its postings.
+    lost = good.where(f"tid = {first.tid}").count()
+    assert [r.fault for r in postings.verify(kind, good.where(f"tid <> {first.tid}"), s.chunks, s.layout).collect()] == ["MISSING"] * lost
+
+
 def oracle(trajectories, q):
     out = []
     for t in sorted(trajectories):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import codes
@@ -36,63 +36,75 @@ class Layout(NamedTuple):
 REF = ("tid", "chunk_id")
 
 
-def time_postings(chunks: DataFrame, layout: Layout) -> DataFrame:
+def time_codes(layout: Layout) -> Column:
     """A chunk is posted to every bucket from its first to its last time; one before the epoch is an error."""
     bucket = lambda c: codes.time_bucket(F.col(c), layout.epoch_ms, layout.bucket_ms)
-    return chunks.select(F.explode(F.sequence(bucket("t_min"), bucket("t_max"))).alias("code"), *REF)
+    return F.sequence(bucket("t_min"), bucket("t_max"))
 
 
-def zorder_postings(chunks: DataFrame, layout: Layout) -> DataFrame:
+def zorder_codes(layout: Layout) -> Column:
     """A chunk is posted to every grid cell that its extent touches."""
-    d, level = layout.domain, layout.zorder_level
+    d, level, zero = layout.domain, layout.zorder_level, F.lit(0).cast("bigint")
     cell = lambda c, low, high: codes.quantize(F.col(c), low, high, level)
-    xs = F.explode(F.sequence(cell("min_x", d.min_x, d.max_x), cell("max_x", d.min_x, d.max_x)))
-    ys = F.explode(F.sequence(cell("min_y", d.min_y, d.max_y), cell("max_y", d.min_y, d.max_y)))
-    spread = chunks.withColumn("__x", xs).withColumn("__y", ys)
-    return spread.select(codes.interleave(F.col("__x"), F.col("__y"), level).alias("code"), *REF)
+    xs = F.transform(F.sequence(cell("min_x", d.min_x, d.max_x), cell("max_x", d.min_x, d.max_x)), lambda x: codes.interleave(x, zero, level))
+    ys = F.transform(F.sequence(cell("min_y", d.min_y, d.max_y), cell("max_y", d.min_y, d.max_y)), lambda y: codes.interleave(zero, y, level))
+    # Both are bound as a lambda's variable, so the bits are spread once per column and row of cells.
+    sides = F.array(F.struct(xs.alias("xs"), ys.alias("ys")))
+    return F.element_at(F.transform(sides, lambda s: F.flatten(F.transform(s["xs"], lambda x: F.transform(s["ys"], lambda y: x.bitwiseOR(y))))), 1)
 
 
-def hash_postings(chunks: DataFrame, layout: Layout) -> DataFrame:
-    """One posting per chunk under the hash of its vehicle; the value stays to reject collisions."""
-    return chunks.select(F.xxhash64("vehicle_id").alias("code"), *REF, "vehicle_id")
+def hash_codes(layout: Layout) -> Column:
+    """One posting per chunk under the hash of its vehicle."""
+    return F.array(F.xxhash64("vehicle_id"))
 
 
 def _extent(layout: Layout, level: int):
     return F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), layout.domain, level
 
 
-def xz_postings(chunks: DataFrame, layout: Layout) -> DataFrame:
-    return chunks.select(codes.xz_code(*_extent(layout, layout.xz_level)).alias("code"), *REF)
+def xz_codes(layout: Layout) -> Column:
+    return F.array(codes.xz_code(*_extent(layout, layout.xz_level)))
 
 
-def tshape_postings(chunks: DataFrame, layout: Layout) -> DataFrame:
+def tshape_codes(layout: Layout) -> Column:
     # The element is bound as a lambda's variable, so it is computed once for all points of a chunk.
     element = F.array(codes.xz_element(*_extent(layout, layout.tshape_level)))
 
     def shaped(e):
         return codes.tshape_code(e["code"], codes.shape_mask(F.col("points"), F.col("min_x"), F.col("min_y"), e["level"], layout.domain))
 
-    return chunks.select(F.element_at(F.transform(element, shaped), 1).alias("code"), *REF)
+    return F.transform(element, shaped)
 
 
-def xzt_postings(chunks: DataFrame, layout: Layout) -> DataFrame:
-    return chunks.select(codes.xzt_code(F.col("t_min"), F.col("t_max"), *layout.horizon_ms, layout.xzt_level).alias("code"), *REF)
+def xzt_codes(layout: Layout) -> Column:
+    return F.array(codes.xzt_code(F.col("t_min"), F.col("t_max"), *layout.horizon_ms, layout.xzt_level))
 
 
-BUILDERS = {"time": time_postings, "zorder": zorder_postings, "hash": hash_postings, "xz": xz_postings, "tshape": tshape_postings, "xzt": xzt_postings}
+#: The codes of one chunk, an array of distinct ones.
+CODES = {"time": time_codes, "zorder": zorder_codes, "hash": hash_codes, "xz": xz_codes, "tshape": tshape_codes, "xzt": xzt_codes}
 
 
 def build(kind: str, chunks: DataFrame, layout: Layout) -> DataFrame:
-    return BUILDERS[kind](chunks, layout)
+    """code, tid, chunk_id; of hash also the vehicle, to reject collisions."""
+    return chunks.select(F.explode(CODES[kind](layout)).alias("code"), *REF, *(["vehicle_id"] if kind == "hash" else []))
 
 
 def verify(kind: str, stored: DataFrame, chunks: DataFrame, layout: Layout) -> DataFrame:
-    """Differences from the expected postings: code, tid, chunk_id, fault (MISSING or EXTRA); none if sound."""
-    keys = ["code", *REF]
-    expected = build(kind, chunks, layout).select(*keys)
-    found = stored.select(*keys)
-    missing = expected.join(found, keys, "left_anti").withColumn("fault", F.lit("MISSING"))
-    return missing.unionByName(found.join(expected, keys, "left_anti").withColumn("fault", F.lit("EXTRA")))
+    """Differences from the expected postings: code, tid, chunk_id, fault (MISSING or EXTRA); none if sound.
+    A posting that differs is one row, however often it is stored.
+
+    The codes of a chunk are compared as arrays, one row per chunk.  Posting files are so small for their
+    rows that Spark would take either side of a join of single postings for one to broadcast; a full outer
+    join is never broadcast.
+    """
+    expected = chunks.select(*REF, CODES[kind](layout).alias("expected"))
+    found = stored.groupBy(*REF).agg(F.collect_list("code").alias("found"), F.count(F.when(F.col("code").isNull(), 1)).alias("nulls"))
+    found = found.select(*REF, F.when(F.col("nulls") > 0, F.concat("found", F.array(F.lit(None).cast("bigint")))).otherwise(F.col("found")).alias("found"))
+    none = F.array().cast("array<bigint>")
+    both = expected.join(found, list(REF), "full").select(*REF, F.coalesce("expected", none).alias("expected"), F.coalesce("found", none).alias("found"))
+    faults = lambda a, b, name: F.transform(F.array_except(a, b), lambda c: F.struct(c.alias("code"), F.lit(name).alias("fault")))
+    differing = F.concat(faults("expected", "found", "MISSING"), faults("found", "expected", "EXTRA"))
+    return both.select(*REF, F.explode(differing).alias("f")).select("f.code", *REF, "f.fault")
 
 
 def posting_counts(stored: DataFrame) -> DataFrame:
