@@ -43,6 +43,16 @@ def test_encoder_forgets_without_harm(library, monkeypatch):
         assert own.encode([text])[0] == np.asarray(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
 
+def test_letters_with_a_mark_are_not_cut_by_the_pattern(library, monkeypatch):
+    cut, one = [], token_store.FastEncoder._cut
+    monkeypatch.setattr(token_store.FastEncoder, "_cut", lambda self, piece: cut.append(piece) or one(self, piece))
+    texts = ["a plain word, another; Élan! word? x.", "word, word. a1, b.c, (d) ,. \nline, end:", ""]
+    own = token_store.FastEncoder(BPE)
+    expected = [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert own.encode(texts) == expected
+    assert not {"plain", "word,", "another;", "Élan!", "word?", "x."}.intersection(cut) and {"a1,", "b.c,", "\nline,"} <= set(cut)
+
+
 def test_other_tokenizers_are_served_by_the_library(library, tmp_path):
     import json
 

@@ -44,12 +44,13 @@ GAMMA = 2.0
 #: The bucket of the rows without a doc_id, and the key that stands for them in it.
 NULL_BUCKET, NULL_KEY = -1, 0
 #: Bytes of text encoded at once: the more, the more often a word is met again.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 4 << 20
 #: Words and pre-tokens whose ids a worker remembers, and their characters at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 CACHE_PRETOKENS = 700_000
 CACHE_CHARS = 16 << 20
-#: Marks that the pattern always parts from the letters before them when nothing follows.
+#: Marks that the pattern always parts from the letters before them when nothing follows; letters with at
+#: most one of them behind need no pattern.
 MARKS = frozenset(".,;:!?")
 
 # The pre-tokenisation pattern of the byte-level BPE vocabulary.
@@ -100,14 +101,8 @@ class FastEncoder:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
     def _cut(self, piece: str) -> list[str]:
-        """Pre-tokens of " " + piece; letters with at most one common mark behind need no pattern."""
-        if piece[0] == "\n":
-            return self.pattern.findall(piece)
-        if piece.isalpha():
-            return [" " + piece]
-        if piece[-1] in MARKS and piece[:-1].isalpha():
-            return [" " + piece[:-1], piece[-1]]
-        return self.pattern.findall(" " + piece)
+        """Pre-tokens of " " + piece, or of a line's first piece."""
+        return self.pattern.findall(piece if piece[0] == "\n" else " " + piece)
 
     def _recall(self, wanted: set[str]) -> dict[str, bytes]:
         """Packed ids of pre-tokens."""
@@ -136,9 +131,15 @@ class FastEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of unseen pieces; None for those that touch other white space."""
-        odd = [w for w in pieces if not w or w[-1].isspace() or w[:1].isspace() and (w[0] != "\n" or w[1].isspace())]
-        cut = {w: self._cut(w) for w in pieces.difference(odd)}
-        known = self._recall(set(chain.from_iterable(cut.values())))
+        plain = [w for w in pieces if w.isalpha()]
+        marked = [w for w in pieces if w[-1:] in MARKS and w[:-1].isalpha()]
+        rest = pieces.difference(plain, marked)
+        odd = [w for w in rest if not w or w[-1].isspace() or w[:1].isspace() and (w[0] != "\n" or w[1].isspace())]
+        cut = {w: self._cut(w) for w in rest.difference(odd)}
+        spaced, before = [" " + w for w in plain], [" " + w[:-1] for w in marked]
+        known = self._recall(set(chain(spaced, before, MARKS, chain.from_iterable(cut.values()))))
+        self.words.update(zip(plain, map(known.__getitem__, spaced)))
+        self.words.update((w, known[p] + known[w[-1]]) for w, p in zip(marked, before))
         self.words.update((w, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for w, ps in cut.items())
         self.words.update(dict.fromkeys(odd))
 
