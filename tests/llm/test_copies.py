@@ -201,3 +201,55 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
                 root[b] = a
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
     assert sorted(r.doc_id for r in got.collect()) == sorted({find(k) for k in range(len(rows))})
+
+
+def rooted(n, pairs):
+    """The least member of each node's component."""
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+@pytest.mark.parametrize("tile, columns", [(3, 7), (256, 4096)])
+@pytest.mark.parametrize("split", [None, 9])
+def test_sets_compared_at_once(monkeypatch, tile, columns, split):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "COLUMNS", columns)
+    rng = random.Random(3)
+    groups = [rng.sample(range(900), rng.randint(5, 50)) for _ in range(5)]
+    sets = [set(g) - set(rng.sample(g, rng.randint(0, len(g) // 6))) | {rng.randrange(900) for _ in range(rng.randint(0, 2))} for g in groups for _ in range(5)] + [set(), {5}]
+    rng.shuffle(sets)
+    near = [(i, j) for j in range(len(sets)) for i in range(j) if (split is None or i < split <= j) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    got = simhash.near_sets([np.array(sorted(x), np.uint64) for x in sets], split)
+    assert 0 < len(near) and got.tolist() == rooted(len(sets), near)
+
+
+@pytest.mark.parametrize("block", [1000, 20])
+def test_a_band_gives_no_more_rows_than_members(spark, monkeypatch, block):
+    """All pairs of 90 members may be near: 4005 pairs, of which spanning links are asked for."""
+    monkeypatch.setattr(simhash, "BAND_BLOCK", block)
+    members = [(1, i, i, 100, 0, 0, 0, 0) for i in range(90)] + [(2, i, 7, 100, 0, 0, 0, 0) for i in range(5)] + [(3, 200, 200, 100, 0, 0, 0, 0), (3, 201, 201, 50, 0, 0, 0, 0)]
+    got = [tuple(r) for r in simhash.band_pairs(spark.createDataFrame(members, "key bigint, id bigint, root bigint, n int, s1 bigint, s2 bigint, s3 bigint, s4 bigint")).collect()]
+    assert rooted(90, got) == [0] * 90
+    assert len(got) <= 90 * -(-90 // block)
+
+
+@pytest.mark.parametrize("family", [1 << 19, 400])
+def test_near_duplicates_in_a_family_of_unlike_texts(spark, monkeypatch, family):
+    """Texts of one origin, most pairs of them under the similarity: each link must be found, and only those."""
+    monkeypatch.setattr(simhash, "FAMILY_BLOCK", family)
+    rng = random.Random(12)
+    base = words(rng, 150)
+    rows = []
+    for k in range(50):
+        text = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 2, 3, 3])):
+            text[at] = f"new{rng.randrange(9999)}"
+        rows.append((k, " ".join(text)))
+    sets = [shingles(t) for _, t in rows]
+    near = [(i, j) for j in range(50) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = set(rooted(50, near))
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(want) > 10 and len(near) > 10 and got == want

@@ -268,6 +268,9 @@ FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 LOOSE_BITS, SMALL_SET = 73, 64
 #: Members of a band compared with each other in one go; a larger band is several goes.
 BAND_BLOCK = 1000
+#: Shingles of a family's sets in one go of their comparison, bytes of sets dealt to one task of it, and
+#: sets and columns of one matrix.
+FAMILY_BLOCK, FAMILY_BYTES, TILE, COLUMNS = 1 << 19, 1 << 24, 256, 4096
 #: Bits of the filter on rows whose shingles are asked for, and of its blocks; more rows than this only
 #: make it coarse.
 FILTER_BITS, FILTER_BLOCK = 26, 16
@@ -357,15 +360,14 @@ def place_of(*columns) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("place")
 
 
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b: ids) whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, as src, dst.
+def shingle_sets(wanted: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, shingles (a sorted set, as bytes) of the ids of ``wanted``, and of a few others.
 
     The sets are made again from the texts, of the rows that stand for the points asked for; a bit map
     over hashes leaves out nearly all others before anything is exchanged.
     """
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    bitmap = spark.sparkContext.broadcast(row_filter(points.join(ends, "id", "left_semi").select("best.doc_id", "best.text_hash").select(place_of("doc_id", "text_hash"))))
+    bitmap = spark.sparkContext.broadcast(row_filter(points.join(wanted, "id", "left_semi").select("best.doc_id", "best.text_hash").select(place_of("doc_id", "text_hash"))))
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).select(place_of("doc_id", "text_hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,6 +381,14 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
                 ids = np.array(list(new), dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in new.values()], pa.binary())], names=["id", "shingles"])
 
+    sets = materialize(source.mapInArrow(run, "id bigint, shingles binary"), "simhash-sets")
+    bitmap.destroy()
+    return sets
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b: ids) whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, as src, dst."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
@@ -388,13 +398,103 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
                 near.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["src", "dst"])
 
-    sets = materialize(source.mapInArrow(run, "id bigint, shingles binary"), "simhash-sets")
+    sets = shingle_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), points, docs)
     # The pairs, narrow rows, are the hashed side of the first join, so that no wide row is sorted for it.
     both = pairs.select("a", "b").hint("shuffle_hash").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     near = materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "src bigint, dst bigint"), "simhash-links")
     discard(sets)
-    bitmap.destroy()
+    return near
+
+
+def common_counts(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """How many elements each of the first ``n`` sets has in common with each of the others, or with each of
+    all if there are no others."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1  # an element of one set only is in no intersection of two
+    kept = shared[at]
+    rows, at = rows[kept], (np.cumsum(shared) - 1)[at[kept]]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    rest = slice(n, None) if n < len(sets) else slice(None)
+    both = np.zeros((n, len(sets) - rest.indices(len(sets))[0]))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+        width = int(at[b - 1]) - lo + 1
+        has = np.zeros((len(sets), width), np.float32)
+        has[rows[a:b], at[a:b] - lo] = 1
+        both += has[:n] @ has[rest].T
+    return both
+
+
+def near_sets(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
+    """A label for each set: equal if links of Jaccard similarity 0.8 or more join them, of all pairs or, with
+    ``split``, of those of a set before and one after that place.  The label is a set's index.
+
+    Sets are taken in the order of their sizes, ``TILE`` by ``TILE``; tiles too different in size are passed over.
+    """
+    size = np.array([len(x) for x in sets])
+    sides = [np.arange(len(sets))] if split is None else [np.arange(split), np.arange(split, len(sets))]
+    tiles = [[side[lo : lo + TILE] for lo in range(0, len(side), TILE)] for side in (x[np.argsort(size[x], kind="stable")] for x in sides)]
+    src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k, p in enumerate(tiles[0]):
+        for q in tiles[0][k:] if split is None else tiles[1]:
+            least, most = max(size[p[0]], size[q[0]]), min(size[p[-1]], size[q[-1]])
+            if 5 * most < 4 * least:
+                continue
+            both = common_counts([sets[x] for x in (p if q is p else np.concatenate([p, q]))], len(p))
+            i, j = np.nonzero(9 * both >= 4 * (size[p][:, None] + size[q][None, :]))
+            label = forest(len(p) + len(q), i, j + len(p))
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            own = np.concatenate([p, q])
+            src.append(own[linked])
+            dst.append(own[label[linked]])
+    return forest(len(sets), np.concatenate(src), np.concatenate(dst))
+
+
+def family_links(families: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """Spanning links src, dst of all pairs in a family (``families``: id, family) whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more.
+
+    Every set is sent to its family's task, where all are compared at once; no pair is a row.  The sets
+    of a large family are dealt to blocks, and each two blocks are a task's work of their own.
+    """
+    spark = docs.sparkSession
+    sets = shingle_sets(families.select("id"), points, docs)
+    sized = materialize(families.join(points.select("id", "n"), "id"), "simhash-families")
+    blocks = F.ceil(F.sum("n") / FAMILY_BLOCK)
+    large = materialize(sized.groupBy("family").agg(blocks.alias("blocks"), F.sum("n").alias("total")), "simhash-family-sizes")
+    total = large.agg(F.sum(F.col("blocks") * F.col("total")) * 8).first()[0] or 0
+    many = large.where("blocks > 1").select("family", "blocks")
+    placed = sized.join(many, "family", "left").select("id", "family", F.coalesce("blocks", F.lit(1).cast("bigint")).alias("blocks"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    work = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    work = work.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        family, i, j, block, own = (table.column(c).to_numpy() for c in ("family", "i", "j", "block", "id"))
+        held = table.column("shingles")
+        order = np.lexsort((own, block, j, i, family))
+        family, i, j, block, own = (x[order] for x in (family, i, j, block, own))
+        new = np.concatenate([[True], (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])
+        cuts = np.flatnonzero(new).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            # A set may come twice, made by two tasks.
+            at = a + np.unique(own[a:b], return_index=True)[1]
+            at = at[np.argsort(block[at], kind="stable")]
+            split = int((block[at] == i[a]).sum()) if i[a] != j[a] else None
+            label = near_sets([np.frombuffer(held[x].as_buffer(), np.uint64) for x in order[at].tolist()], split)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(own[at[linked]]), pa.array(own[at[label[linked]]])], names=["src", "dst"])
+
+    dealt = work.repartition(parts_for(spark, total, FAMILY_BYTES), "family", "i", "j")
+    near = materialize(dealt.mapInArrow(run, "src bigint, dst bigint"), "simhash-links")
+    discard(sets, sized, large)
     return near
 
 
@@ -420,8 +520,8 @@ def band_members(points: DataFrame) -> DataFrame:
 
 
 def band_pairs(members: DataFrame) -> DataFrame:
-    """src, dst (ids): pairs of ``members`` (key, id, root, n, s1 to s4) with one key and two roots that
-    sizes and wide fingerprints don't rule out.
+    """src, dst (ids): spanning links of the pairs of ``members`` (key, id, root, n, s1 to s4) with one key and
+    two roots that sizes and wide fingerprints don't rule out: no more than there are members.
 
     The members of a large band are dealt to blocks of some ``BAND_BLOCK`` members, and each two blocks
     are a task's work of their own.
@@ -448,23 +548,32 @@ def band_pairs(members: DataFrame) -> DataFrame:
         size = np.diff(np.append(first, len(key)))
         one = gi[first] == gj[first]
 
-        def near(p: np.ndarray, q: np.ndarray, within: np.ndarray) -> pa.RecordBatch:
+        def near(lo: int, hi: int, p: np.ndarray, q: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Spanning links of the pairs p, q of rows lo to hi."""
             small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
             good = (p < q) & (within | (block[p] != block[q])) & (root[p] != root[q]) & (small >= large * SIMILARITY - 1e-6)
             p, q, small = p[good], q[good], small[good]
             good = (small < SMALL_SET) | (sum(popcount(s[p] ^ s[q]) for s in bits) <= LOOSE_BITS)
-            return pa.RecordBatch.from_arrays([pa.array(own[p[good]]), pa.array(own[q[good]])], names=["src", "dst"])
+            label = forest(hi - lo, p[good] - lo, q[good] - lo)
+            linked = np.flatnonzero(label != np.arange(hi - lo))
+            return lo + linked, lo + label[linked]
 
         step = np.cumsum(size * size) >> 20
         for s in np.unique(step):
             at = np.flatnonzero(step == s)
-            if len(at) == 1 and size[at[0]] > BAND_BLOCK:  # two blocks: row by row
-                a, k = int(first[at[0]]), int(size[at[0]])
-                for lo in range(a, a + k, 256):
-                    p, q = np.meshgrid(np.arange(lo, min(lo + 256, a + k)), np.arange(lo, a + k), indexing="ij")
-                    yield near(p.ravel(), q.ravel(), np.full(p.size, one[at[0]]))
+            a, e = int(first[at[0]]), int(first[at[-1]] + size[at[-1]])
+            if len(at) == 1 and e - a > BAND_BLOCK:  # two blocks: row by row
+                links = []
+                for lo in range(a, e, 256):
+                    p, q = np.meshgrid(np.arange(lo, min(lo + 256, e)), np.arange(lo, e), indexing="ij")
+                    links.append(near(a, e, p.ravel(), q.ravel(), np.full(p.size, one[at[0]])))
+                src, dst = map(np.concatenate, zip(*links))
+                label = forest(e - a, src - a, dst - a)
+                src = np.flatnonzero(label != np.arange(e - a))
+                src, dst = a + src, a + label[src]
             else:
-                yield near(*_products(first[at], size[at], first[at], size[at]), np.repeat(one[at], size[at] ** 2))
+                src, dst = near(a, e, *_products(first[at], size[at], first[at], size[at]), np.repeat(one[at], size[at] ** 2))
+            yield pa.RecordBatch.from_arrays([pa.array(own[src]), pa.array(own[dst])], names=["src", "dst"])
 
     dealt = work.repartition(partitions(members.sparkSession), "key", "i", "j")
     return dealt.mapInArrow(run, "src bigint, dst bigint")
@@ -475,9 +584,11 @@ def near_groups(docs: DataFrame, word_bits: int = WORD_BITS) -> tuple[DataFrame,
 
     Points of one root are connected by links of Jaccard similarity 0.8 or more, each verified.  Links
     are sought in two rounds: those of the trie join of word fingerprints, of points to the leader of
-    their fingerprint, and of each band's members to its leader; then all pairs in a band that are not
-    connected yet, so that a large group costs no pair of its members twice.  Joins look up written
-    tables, so that adaptive execution can deal the rows of a frequent key to several tasks.
+    their fingerprint, and of each band's members to its leader; then among all pairs in a band that are
+    not connected yet and may be near.  These pairs are never rows: a band gives a spanning forest of them,
+    the trees are put together to families, and all sets of a family are compared with each other.
+    Joins look up written tables, so that adaptive execution can deal the rows of a frequent key to
+    several tasks.
     """
     marked = materialize(near_profiles(docs), "simhash-profile")
     sides = ["s1", "s2", "s3", "s4"]
@@ -494,9 +605,10 @@ def near_groups(docs: DataFrame, word_bits: int = WORD_BITS) -> tuple[DataFrame,
     roots = materialize(connected_components(first), "simhash-roots")
     rooted = members.select("key", "id").join(roots, members.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     open_ = materialize(rooted.join(points.select("id", "n", *sides), "id"), "simhash-open")
-    more = materialize(band_pairs(open_).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "simhash-pairs")
+    more = materialize(band_pairs(open_), "simhash-pairs")
     discard(asked, first, members, open_)
-    second = verified(more, points, docs)
+    families = materialize(connected_components(more).select(F.col("node").alias("id"), F.col("root").alias("family")), "simhash-families")
+    second = family_links(families, points, docs)
     roots = connected_components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(second))
     return marked, points.join(roots, points.id == roots.node, "left").select("id", "best", F.coalesce("root", "id").alias("root"))
 
