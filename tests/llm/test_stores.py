@@ -53,6 +53,35 @@ def test_letters_with_a_mark_are_not_cut_by_the_pattern(library, monkeypatch):
     assert not {"plain", "word,", "another;", "Élan!", "word?", "x."}.intersection(cut) and {"a1,", "b.c,", "\nline,"} <= set(cut)
 
 
+def test_pieces_are_encoded_together_and_once(library, monkeypatch):
+    own, asked, cut = token_store.FastEncoder(BPE), [], []
+    one, pattern = token_store.FastEncoder._together, token_store.FastEncoder._cut
+    monkeypatch.setattr(token_store.FastEncoder, "_together", lambda self, words, lead: asked.extend(lead + w for w in words) or one(self, words, lead))
+    monkeypatch.setattr(token_store.FastEncoder, "_cut", lambda self, piece: cut.append(piece) or pattern(self, piece))
+    texts = ["of words\nand lines\nélan words, zu\nzu", "", "\nand words,  twice", "of Élan", "naïve\tof", " of", "of "]
+    assert own.encode(texts) == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert {" words", "\nand", "\nélan", "\nzu", " zu"} <= set(asked) and not {"\nand", "\nélan", "\nzu"}.intersection(cut)
+    before = len(asked)
+    own.encode(texts)
+    assert asked.count("\nand") == 1 and len(asked) == before and own.encode([]) == []
+
+
+def test_merges_over_a_border_are_left_to_the_pattern(tmp_path):
+    import json
+
+    alphabet = {c: i for i, c in enumerate(token_store.byte_alphabet().values())}
+    merges = [["\u010a", "a"], ["b", "\u0120"], ["a", "b"]]  # a line end with a letter, a letter with a space
+    vocab = alphabet | {"".join(m): 256 + k for k, m in enumerate(merges)}
+    with open(BPE) as f:
+        made = json.load(f)
+    made["model"] |= {"vocab": vocab, "merges": merges}
+    made["added_tokens"] = []
+    (tmp_path / "small.json").write_text(json.dumps(made))
+    own, library = token_store.FastEncoder(str(tmp_path / "small.json")), Tokenizer.from_file(str(tmp_path / "small.json"))
+    texts = ["ab ab b\nab ba", "b aab\naé é\né", "x ab\nb"]
+    assert own.known and own.encode(texts) == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
 def test_other_tokenizers_are_served_by_the_library(library, tmp_path):
     import json
 

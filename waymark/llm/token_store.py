@@ -26,7 +26,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,16 +63,26 @@ def is_byte_bpe(path: str) -> bool:
         made = json.load(f)
     cut, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
     plain = made.get("normalizer") is None and made.get("truncation") is None and made.get("padding") is None
-    bare = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    bare = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
     return plain and bare and model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The visible character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+#: What ``words`` gives for a piece that isn't in it (None is a piece without ids of its own).
+UNSEEN = object()
+
+
 class FastEncoder:
     """Encode whole texts with a ``tokenizers`` file, remembering the ids of words.
 
     A byte-level BPE never merges across pre-tokens, and a single space between two visible
-    characters always starts one.  A text is therefore cut at such spaces, each distinct piece is
-    encoded by the library once, and the packed ids are joined.  Texts with other white space around
+    characters always starts one.  Texts are therefore cut at such spaces, all at once, each distinct
+    piece is encoded by the library once, and the packed ids are put in its places.  Texts with other white space around
     a space are cut by the full pattern, and texts with a special token's string go to the library
     whole.  Both memories are bounded, in two generations, so that common ones survive when the rare
     are dropped.
@@ -90,9 +100,16 @@ class FastEncoder:
         self.pattern = regex.compile(PRETOKENS)
         self.words: dict[str, bytes | None] = {}  # a piece, without the space before it
         self.older_words: dict[str, bytes | None] = {}
-        # Which tokens begin with a space (in this alphabet of bytes, a "\u0120").
-        self.begins = np.zeros(size, bool)
-        self.begins[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t[:1] == "\u0120"]] = True
+        # The model alone: it takes text in its alphabet of bytes, and cuts nothing.
+        self.model, self.alphabet = Tokenizer(self.tokenizer.model), byte_alphabet()
+        # Which tokens begin with a space or a line end, and which one is nothing more.
+        self.begins = {lead: np.zeros(size, bool) for lead in " \n"}
+        self.single = {lead: -1 for lead in " \n"}
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            for lead in " \n":
+                if token[:1] == self.alphabet[ord(lead)]:
+                    self.begins[lead][i] = True
+                    self.single[lead] = i if len(token) == 1 else self.single[lead]
         self.pretokens: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.word_chars = self.pretoken_chars = 0
@@ -114,70 +131,112 @@ class FastEncoder:
         known.update((p, older[p]) for p in unseen.intersection(older))
         unseen.difference_update(older)
         plain = [p for p in unseen if p[0] == " " and p[1:].isalpha()]
-        for i in range(0, len(plain), 1024):
-            known.update(self._together(plain[i : i + 1024]))
-        for p in unseen.difference(known):
-            known[p] = self._pack(self.tokenizer.encode(p, add_special_tokens=False).ids)
+        known.update(zip(plain, self._together([p[1:] for p in plain], " ")))
+        new = list(unseen.difference(plain))
+        known.update(zip(new, (self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
         return known
 
-    def _together(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words (a space, then letters) from one call: each begins where a token begins with a space."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.dtype.itemsize
-        if len(cuts) != len(words) + 1:
-            return {}
-        packed = ids.tobytes()
-        return {w: packed[a:b] for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist())}
+    def _together(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of lead + word for words of letters, many from one call of the model.
+
+        Each begins where a token begins with the lead.  A merge over a border, or of a line end with letters
+        (which the pattern parts), would show as fewer such tokens, or as others: then the library cuts.
+        """
+        out: list[bytes] = []
+        for i in range(0, len(words), 1024):
+            some = words[i : i + 1024]
+            text = lead + lead.join(some)
+            shown = text.replace(lead, self.alphabet[ord(lead)]) if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+            ids = np.asarray(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            begin = np.flatnonzero(self.begins[lead][ids])
+            if len(begin) == len(some) and (lead == " " or (ids[begin] == self.single[lead]).all()):
+                cuts, packed = (np.append(begin, len(ids)) * self.dtype.itemsize).tolist(), ids.tobytes()
+                out += map(packed.__getitem__, map(slice, cuts[:-1], cuts[1:]))
+            else:
+                out += [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False)]
+        return out
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Ids of unseen pieces; None for those that touch other white space."""
-        plain = [w for w in pieces if w.isalpha()]
-        marked = [w for w in pieces if w[-1:] in MARKS and w[:-1].isalpha()]
-        rest = pieces.difference(plain, marked)
-        odd = [w for w in rest if not w or w[-1].isspace() or w[:1].isspace() and (w[0] != "\n" or w[1].isspace())]
-        cut = {w: self._cut(w) for w in rest.difference(odd)}
-        spaced, before = [" " + w for w in plain], [" " + w[:-1] for w in marked]
-        known = self._recall(set(chain(spaced, before, MARKS, chain.from_iterable(cut.values()))))
-        self.words.update(zip(plain, map(known.__getitem__, spaced)))
-        self.words.update((w, known[p] + known[w[-1]]) for w, p in zip(marked, before))
-        self.words.update((w, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for w, ps in cut.items())
-        self.words.update(dict.fromkeys(odd))
+        words = self.words
+        plain, marked, lines, rest = [], [], [], []
+        for w in pieces:
+            if w.isalpha():
+                plain.append(w)
+            elif w[-1:] in MARKS and w[:-1].isalpha():
+                marked.append(w)
+            elif w[:1] == "\n" and w[1:].isalpha():
+                lines.append(w)
+            else:
+                rest.append(w)
+        words.update(zip(plain, self._together(plain, " ")))
+        words.update(zip(lines, self._together([w[1:] for w in lines], "\n")))
+        cut = {}
+        for w in rest:
+            odd = not w or w[-1].isspace() or w[0].isspace() and (w[0] != "\n" or w[1].isspace())
+            cut[w] = None if odd else self._cut(w)
+        known = self._recall(set(chain(MARKS, chain.from_iterable(ps for ps in cut.values() if ps))))
+        words.update((w, ps and b"".join([known[p] for p in ps])) for w, ps in cut.items())
+        older = self.older_words
+        before = {b: words.get(b) or older.get(b) for b in {w[:-1] for w in marked}}
+        new = [b for b, ids in before.items() if ids is None]
+        before.update(zip(new, self._together(new, " ")))
+        words.update((w, before[w[:-1]] + known[w[-1]]) for w in marked)
+
+    def _ids(self, pieces: list[str]) -> list[bytes | None]:
+        """Packed ids of distinct pieces."""
+        found = list(map(self.words.get, pieces, repeat(UNSEEN)))
+        places = [i for i, ids in enumerate(found) if ids is UNSEEN]
+        if not places:
+            return found
+        missing = list(map(pieces.__getitem__, places))
+        fresh = sum(map(len, missing))
+        if len(self.words) + len(missing) > CACHE_WORDS or self.word_chars + fresh > CACHE_CHARS:
+            self.older_words, self.words, self.word_chars = self.words, {}, 0
+            missing, fresh = pieces, sum(map(len, pieces))
+        self.word_chars += fresh
+        if self.older_words:
+            older = list(map(self.older_words.get, missing, repeat(UNSEEN)))
+            self.words.update((w, ids) for w, ids in zip(missing, older) if ids is not UNSEEN)
+            missing = [w for w, ids in zip(missing, older) if ids is UNSEEN]
+        self._learn(missing)
+        for i in places:
+            found[i] = self.words[pieces[i]]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; empty texts give none."""
         if not self.known:
             return [self._pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if not texts:
+            return []
         # A line end begins a piece of its own, which then has no space before it.
-        cut = [text.replace("\n", " \n").split(" ") for text in texts]
-        heads = [ws[0] for ws in cut]
-        for ws in cut:
-            del ws[0]
-        wanted = set().union(*cut)
-        if (missing := wanted.difference(self.words)):
-            fresh = sum(map(len, missing))
-            if len(self.words) + len(missing) > CACHE_WORDS or self.word_chars + fresh > CACHE_CHARS:
-                self.older_words, self.words, self.word_chars = self.words, {}, 0
-                missing, fresh = wanted, sum(map(len, wanted))
-            self.word_chars += fresh
-            again = missing.intersection(self.older_words)
-            self.words.update((w, self.older_words[w]) for w in again)
-            self._learn(missing - again)
-        get, out, slow = self.words.__getitem__, [], []
-        for i, (text, head, ws) in enumerate(zip(texts, heads, cut)):
-            try:
-                body = b"".join(map(get, ws)) if head and not head[-1].isspace() else None
-            except TypeError:  # a piece that touches other white space has no ids of its own
-                body = None
+        raw = np.frombuffer((" " + " ".join(texts).replace("\n", " \n")).encode(), np.uint8)
+        space = raw == ord(" ")
+        at = np.flatnonzero(space)
+        offsets = np.append(at, len(raw)) - np.arange(len(at) + 1)
+        pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(raw[~space])).dictionary_encode()
+        packed = pa.array(self._ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
+        _, places, body = packed.buffers()
+        place, body = np.frombuffer(places, np.int64, len(packed) + 1, 8 * packed.offset), memoryview(body or b"")
+        odd = np.append(0, np.cumsum(packed.is_null().to_numpy(zero_copy_only=False)))
+        # The first piece of each text has no space before it; the rest of its pieces follow.
+        first = np.cumsum([0, *(t.count(" ") + t.count("\n") + 1 for t in texts)])
+        start, stop = place[first[:-1] + 1].tolist(), place[first[1:]].tolist()
+        touched = (odd[first[1:]] > odd[first[:-1] + 1]).tolist()
+        out, slow = [], []
+        for i, (text, a, z, odd_) in enumerate(zip(texts, start, stop, touched)):
+            head = text[: min(k for k in (text.find(" "), text.find("\n"), len(text)) if k >= 0)] if text else ""
             if not text:
                 out.append(b"")
             elif any(s in text for s in self.special):
                 out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            elif body is None:
+            elif odd_ or not head or head[-1].isspace():  # a piece that touches other white space has no ids of its own
                 slow.append((i, self.pattern.findall(text)))
                 out.append(b"")
             else:
                 slow.append((i, self.pattern.findall(head)))
-                out.append(body)
+                out.append(bytes(body[a:z]))
         known = self._recall({p for _, ps in slow for p in ps})
         for i, ps in slow:
             out[i] = b"".join([known[p] for p in ps]) + out[i]
