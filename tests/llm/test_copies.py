@@ -139,6 +139,31 @@ def test_order_of_strings_is_that_of_the_corpus():
         assert alphabet != "ab" or same.sum() > 50
 
 
+def test_only_tied_strings_are_sorted_further(monkeypatch):
+    rng, seen, one = random.Random(4), [], repeats.eight_at
+    monkeypatch.setattr(repeats, "eight_at", lambda word, at, k: seen.append((k, len(at))) or one(word, at, k))
+    for alphabet in ("ab", "\0a", "abcdefgh", "a", "\0"):
+        data = "".join(rng.choice(alphabet) for _ in range(700)).encode() * 2
+        word = repeats.eights(np.frombuffer(data + bytes(8), np.uint8))
+        assert word.tolist() == [int.from_bytes((data + bytes(8))[i : i + 8]) for i in range(len(data) + 1)]
+        at = np.array(sorted(rng.sample(range(len(data)), 500)))
+        room = np.array([min(rng.choice((1, 6, 7, 8, 12, 49, 50, 90)), len(data) - i) for i in at.tolist()])
+        strings = [data[i : i + min(n, 50)] for i, n in zip(at.tolist(), room.tolist())]
+        places = {x: i for i, x in reversed(list(enumerate(sorted(strings), 1)))}
+        seen.clear()
+        assert repeats.ranked_strings(word, at, room).tolist() == [places[x] for x in strings]
+        assert [n for _, n in seen] == sorted((n for _, n in seen), reverse=True) and seen[0] == (0, 500)
+        assert alphabet != "abcdefgh" or sum(n for k, n in seen if k) < 500
+    assert not len(repeats.ranked_strings(word, at[:0], room[:0])) and repeats.ranked_strings(word, at[:1], room[:1]).tolist() == [1]
+    monkeypatch.setattr(repeats, "CACHED", 64)
+    data = np.frombuffer(rng.randbytes(900), np.uint8)
+    hashes = repeats.gram_hashes(data)
+    value = lambda b: sum((int(x) + 1) * pow(repeats.BASE, 19 - i, 1 << 64) for i, x in enumerate(b)) % (1 << 64)
+    assert hashes.tolist() == [value(data[i : i + 20]) for i in range(881)]
+    assert repeats.window_minima(hashes).tolist() == [int(hashes[i : i + 31].min()) for i in range(851)]
+    assert all((repeats.one_in(n, hashes) == (hashes % np.uint64(n) == 0)).all() for n in (1, 2, 3, 7, 32))
+
+
 @pytest.mark.parametrize(("pass_bytes", "block_bytes", "hot"), [(1 << 20, 3 << 20, 8192), (700, 9_000, 8192), (700, 4_000, 4), (1 << 20, 3 << 20, 1)])
 def test_repeats_against_brute_force(spark, monkeypatch, pass_bytes, block_bytes, hot):
     for name, value in (("PASS_BYTES", pass_bytes), ("BLOCK_BYTES", block_bytes), ("HOT_RUNS", hot), ("BUCKET_BYTES", block_bytes // 2)):

@@ -52,6 +52,8 @@ PHRASE = 256
 #: UTF-8 bytes of a block of documents (more if one document is longer), and of one pass of arrays.
 BLOCK_BYTES = 2 << 20
 PASS_BYTES = 1 << 20
+#: Places whose hashes are computed at once, so that the arrays between stay in a core's cache.
+CACHED = 1 << 14
 #: UTF-8 bytes of text for each task that sorts strings.
 BUCKET_BYTES = 4 << 20
 #: Occurrences (runs of strings, estimated by powers of two) from which a minimiser's strings are dealt one by one.
@@ -71,23 +73,41 @@ SIGN_BITS = 35
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """The polynomial hash (modulo 2^64) of the ``GRAM`` bytes from each place on."""
-    b, n = data.astype(np.uint64) + np.uint64(1), len(data)
-    two = b[:-1] * np.uint64(BASE) + b[1:]
-    four = two[:-2] * np.uint64(pow(BASE, 2, 1 << 64)) + two[2:]
-    eight = four[:-4] * np.uint64(pow(BASE, 4, 1 << 64)) + four[4:]
-    sixteen = eight[:-8] * np.uint64(pow(BASE, 8, 1 << 64)) + eight[8:]
-    return sixteen[: n - GRAM + 1] * np.uint64(pow(BASE, 4, 1 << 64)) + four[16 : 16 + n - GRAM + 1]
+    out = np.empty(max(len(data) - GRAM + 1, 0), np.uint64)
+    for lo in range(0, len(out), CACHED):
+        b = data[lo : lo + CACHED + GRAM - 1].astype(np.uint64)
+        b += np.uint64(1)
+        two = b[:-1] * np.uint64(BASE)
+        two += b[1:]
+        four = two[:-2] * np.uint64(pow(BASE, 2, 1 << 64))
+        four += two[2:]
+        eight = four[:-4] * np.uint64(pow(BASE, 4, 1 << 64))
+        eight += four[4:]
+        sixteen = eight[:-8] * np.uint64(pow(BASE, 8, 1 << 64))
+        sixteen += eight[8:]
+        all_ = out[lo : lo + CACHED]
+        np.multiply(sixteen[: len(all_)], np.uint64(pow(BASE, 4, 1 << 64)), out=all_)
+        all_ += four[16 : 16 + len(all_)]
+    return out
 
 
 def window_minima(h: np.ndarray) -> np.ndarray:
     """The minimiser of each 50-byte string: the least hash of its grams."""
     w = LENGTH - GRAM + 1
-    m, span = h, 1
-    while span * 2 <= w:
-        m = np.minimum(m[:-span], m[span:])
-        span *= 2
-    rest = w - span
-    return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
+    out = np.empty(max(len(h) - w + 1, 0), np.uint64)
+    for lo in range(0, len(out), CACHED):
+        m, span = h[lo : lo + CACHED + w - 1], 1
+        while span * 2 <= w:
+            m = np.minimum(m[:-span], m[span:])
+            span *= 2
+        rest = w - span
+        out[lo : lo + CACHED] = np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
+    return out
+
+
+def one_in(n: int, h: np.ndarray) -> np.ndarray:
+    """Which hashes are multiples of n."""
+    return h & np.uint64(n - 1) == 0 if n & (n - 1) == 0 else h % np.uint64(n) == 0
 
 
 class Block(NamedTuple):
@@ -132,7 +152,7 @@ def parse_block(doc_id: pa.ChunkedArray, text: pa.ChunkedArray) -> Block:
         np.add.at(room, a, 1)
         np.add.at(room, z, -1)
         whole = np.cumsum(room[:-1]) > 0
-        trigger = h[:n] % np.uint64(PHRASE) == 0
+        trigger = one_in(PHRASE, h[:n])
         trigger &= whole
         cut = trigger | ~whole
         cut[0] = True
@@ -345,34 +365,54 @@ def send(j: Judged, block: int) -> pa.Table:
 FOUND = np.dtype([("stretch", "<u4"), ("offset", "u1"), ("n", "u1"), ("first", "<i8")])
 
 
-def ranked(*keys: np.ndarray) -> np.ndarray:
-    """The rank of each row of the keys (the first key counts most); equal rows have one rank, from 1."""
-    by = np.lexsort(keys[::-1])
+def ranked(key: np.ndarray) -> np.ndarray:
+    """The rank of each key, from 1; equal ones have one rank."""
+    by = np.argsort(key)
     new = np.ones(len(by), bool)
-    new[1:] = False
-    for k in keys:
-        new[1:] |= k[by[1:]] != k[by[:-1]]
+    new[1:] = key[by[1:]] != key[by[:-1]]
     out = np.empty(len(by), np.int64)
     out[by] = np.cumsum(new)
     return out
 
 
-def words_at(word: np.ndarray, at: np.ndarray, room: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """The bytes from each place on, 50 of them, eight in a number; those beyond the room are zero."""
-    for k in (0, 8, 16, 24, 32, 40, 42):
-        w = word[np.minimum(at + k, len(word) - 1)]
-        if room is not None:
-            left = np.clip(room - k, 0, 8).astype(np.uint64)
-            w = np.where(left == 0, np.uint64(0), w & ~((np.uint64(1) << (np.uint64(64) - np.uint64(8) * left) % np.uint64(64)) - np.uint64(1)))
-        yield w
+def eight_at(word: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The eight bytes from ``k`` after each place on, as a number."""
+    return word[np.minimum(at + k, len(word) - 1)]
 
 
 def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as a number that sorts as they do."""
-    word = data.astype(np.uint64)
-    for step, shift in ((1, 8), (2, 16), (4, 32)):
-        word = (word[:-step] << np.uint64(shift)) | word[step:]
-    return word
+    return np.ndarray(max(len(data) - 7, 0), ">u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+
+
+#: The first so many bytes of a number of eight.
+HEAD = np.array([WRAP ^ (WRAP >> 8 * n) for n in range(9)], dtype=np.uint64)
+
+
+def ranked_strings(word: np.ndarray, at: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The rank of the bytes from each place on, to 50 of them and as far as there is room; equal ones have one
+    rank, ranks begin at 1.  Each round sorts by some more bytes what is still tied, in one key: the rank so far,
+    the bytes, and how many they are (a string that ends comes first).
+    """
+    n = len(at)
+    room = np.minimum(room, LENGTH)
+    rank, tied, k, width = np.ones(n, np.int64), np.arange(n), 0, 7
+    while len(tied):
+        old, here = rank[tied], np.clip(room[tied] - k, 0, width)
+        key = (eight_at(word, at[tied], k) & HEAD[here]) >> np.uint64(64 - 8 * width)
+        if k:
+            key |= old.astype(np.uint64) << np.uint64(8 * width)
+        key = key << np.uint64(4) | here.astype(np.uint64)
+        by = np.argsort(key)
+        tied, old, key = tied[by], old[by], key[by]
+        place = np.arange(len(by))
+        new, other = np.ones(len(by) + 1, bool), np.zeros(len(by), bool)
+        new[1:-1] = key[1:] != key[:-1]
+        other[1:] = old[1:] != old[:-1]
+        rank[tied] = old + np.maximum.accumulate(np.where(new[:-1], place, 0)) - np.maximum.accumulate(np.where(other, place, 0))
+        tied = tied[~(new[:-1] & new[1:]) & (here[by] == width)]
+        k, width = k + width, (60 - n.bit_length()) // 8
+    return rank
 
 
 def corpus_order(text: bytes, word: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -382,7 +422,8 @@ def corpus_order(text: bytes, word: np.ndarray, length: np.ndarray, at: np.ndarr
     end = np.cumsum(length)
     start = end - length
     # The parse: a phrase runs from a trigger, or its stretch's start, to the end of the next trigger.
-    trigger = mix64(word[: end[-1] if len(end) else 0]) % np.uint64(PIECE) == 0
+    total = int(length.sum())
+    trigger = np.concatenate([one_in(PIECE, mix64(word[lo : min(lo + CACHED, total)])) for lo in range(0, total, CACHED)] or [np.empty(0, bool)])
     begin = np.unique(np.concatenate([start, np.flatnonzero(trigger)]))
     of = np.searchsorted(start, begin, "right") - 1
     begin = begin[(begin == start[of]) | (begin + WINDOW <= end[of])]
@@ -396,15 +437,16 @@ def corpus_order(text: bytes, word: np.ndarray, length: np.ndarray, at: np.ndarr
     size = np.array([len(p) for p in names], dtype=np.int64)
     place = np.cumsum(size) - size
     # Its suffixes in order, to 50 bytes: the phrases themselves, and those where a string asked for begins.
-    phrase = np.searchsorted(begin, at, "right") - 1
+    begins = np.zeros(total, np.int32)
+    begins[begin] = 1
+    phrase = np.cumsum(begins, dtype=np.int32)[at] - 1
     offset = at - begin[phrase]
     asked = np.zeros(int(size.sum()), bool)
     asked[place] = True
     asked[place[name[phrase]] + offset] = True
     suffix = np.flatnonzero(asked)
-    room = (place + size)[np.searchsorted(place, suffix, "right") - 1] - suffix
     rank = np.zeros(len(asked), np.int64)
-    rank[suffix] = ranked(*words_at(eights(dictionary), suffix, room), np.minimum(room, LENGTH))
+    rank[suffix] = ranked_strings(eights(dictionary), suffix, np.repeat(place + size, size)[suffix] - suffix)
     # The suffixes of the parse in order: by their first phrase, then by twice as many phrases each time,
     # until a stretch, or 50 bytes, have no more.
     follow = rank[place[name]]
@@ -415,13 +457,13 @@ def corpus_order(text: bytes, word: np.ndarray, length: np.ndarray, at: np.ndarr
         after = np.zeros(len(follow), np.int64)
         same = of[step:] == of[:-step]
         after[:-step][same] = follow[step:][same]
-        follow = ranked(follow, after)
+        follow = ranked(follow * (follow.max() + 1) + after)
     behind = np.zeros(len(follow), np.int64)
     behind[:-1][~last[:-1]] = follow[1:][~last[:-1]]
     # Both orders together.
     short = size[name[phrase]] - offset < LENGTH
     key = rank[place[name[phrase]] + offset] * (len(follow) + 2) + np.where(short, behind[phrase], 0)
-    return np.argsort(key, kind="stable"), key
+    return np.argsort(key), key
 
 
 def sort_suffixes(sent: pa.Table) -> pa.Table:
@@ -446,9 +488,10 @@ def sort_suffixes(sent: pa.Table) -> pa.Table:
     new = np.zeros(len(suffix), bool)
     new[:1] = True
     cut = np.flatnonzero(np.diff(key[suffix])) + 1
-    here, there = at[suffix[cut]], at[suffix[cut - 1]]
-    for a, b in zip(words_at(word, here), words_at(word, there)):
-        new[cut] |= a != b
+    for k in (0, 8, 16, 24, 32, 40, 42):
+        differ = eight_at(word, at[suffix[cut]], k) != eight_at(word, at[suffix[cut - 1]], k)
+        new[cut[differ]] = True
+        cut = cut[~differ]
     group = np.cumsum(new) - 1
     first = np.minimum.reduceat(low[of[suffix]], np.flatnonzero(new))[group]
     earliest = np.empty(len(suffix), np.int64)
